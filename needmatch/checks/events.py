@@ -10,10 +10,10 @@ from .registry import query
 
 VERSION_REQUESTS = """
 SELECT project_id, CASE WHEN id % 300 = 7 THEN concat(data_key, '_x') ELSE data_key END AS data_key, sequence, created_at, id
-FROM fx_log WHERE id % 10 = 7"""
+FROM fx_log"""
 DIFF_PAIRS = """
 SELECT project_id, data_key, sequence AS from_sequence, sequence + CAST(id % 3 AS BIGINT) * 15 AS to_sequence
-FROM fx_log WHERE id % 5 = 3"""
+FROM fx_log"""
 CURSORS = """
 SELECT project_id, agent_id, CASE WHEN length(agent_id) = 7 THEN '12-0' WHEN last_sequence % 11 = 0 THEN 'abc'
        ELSE CAST(last_sequence AS VARCHAR(20)) END AS since
@@ -178,11 +178,11 @@ def e12(spark, d):
 
 @query("e12_get_snapshot", """
 SELECT t.project_id, t.target_id, t.sequence, s.created_at, s.sequence IS NOT NULL AS found
-FROM (SELECT project_id, target_id, at_sequence - at_sequence % 250 + 101 AS sequence FROM fx_targets) t
+FROM (SELECT project_id, target_id, at_sequence AS sequence FROM fx_targets) t
 LEFT JOIN fx_snapshot_points s ON s.project_id = t.project_id AND s.sequence = t.sequence""")
 def e12g(spark, d):
     keys = fx(spark, d, "fx_targets").select(
-        "project_id", "target_id", (F.col("at_sequence") - F.col("at_sequence") % 250 + 101).alias("sequence"))
+        "project_id", "target_id", F.col("at_sequence").alias("sequence"))
     return ev.get_snapshot(fx(spark, d, "fx_snapshot_points"), keys)
 
 

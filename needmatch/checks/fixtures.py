@@ -100,9 +100,9 @@ FROM events""",
 SELECT event_id, ts, concat('proj_', user_id % 20) AS project_id, event_id % 977 + 1 AS value
 FROM events""",
     "fx_vectors": """
-SELECT vec_id, concat('proj_', label) AS project_id, embedding FROM embeddings WHERE vec_id % 25 <> 0""",
+SELECT vec_id, concat('proj_', label) AS project_id, embedding FROM embeddings""",
     "fx_vector_queries": """
-SELECT vec_id AS query_id, concat('proj_', label) AS project_id, embedding FROM embeddings WHERE vec_id % 25 = 0""",
+SELECT vec_id AS query_id, concat('proj_', label) AS project_id, embedding FROM embeddings""",
     "fx_corpus": """
 SELECT doc_id, source AS project_id, text AS content, lang AS metadata FROM documents""",
     "fx_text_queries": """
@@ -114,14 +114,49 @@ SELECT source AS project_id, concat('doc_', lang, '_', doc_id % 50) AS data_key,
        CASE doc_id % 3 WHEN 0 THEN 'object' WHEN 1 THEN 'row' ELSE 'paragraph' END AS node_type,
        text AS content, doc_id
 FROM documents""",
+    # payloads of seven formats around the whole text of each document
+    "fx_payloads": """
+SELECT doc_id, doc_id % 7 AS kind, source AS project_id, CASE WHEN doc_id % 35 = 6 THEN 'text' END AS format_hint,
+  CASE doc_id % 7
+  WHEN 0 THEN concat('{"title": "', source, '", "order": {"id": ', doc_id, ', "lang": "', lang, '", "tags": ["a", "b"]}, "items": [{"part": ',
+       doc_id % 11, ', "qty": ', n_chars, '}, {"part": ', doc_id % 13, ', "qty": null}], "body": "', clean, '"}')
+  WHEN 1 THEN concat('doc,lang,size,ok,score,note', chr(10), doc_id, ',', lang, ',', n_chars, ',yes,', doc_id % 10, '.5,', chr(10),
+       doc_id + 1, ',', source, ',7,no,3,x y', chr(10), 'short,row', chr(10), doc_id + 2, ',de,,true,', doc_id % 3, '.25, z')
+  WHEN 2 THEN concat('# ', source, ' guide', chr(10), chr(10), clean, chr(10), chr(10), '- one', chr(10), '* two', chr(10), '1. first', chr(10), chr(10),
+       'See [docs](http://example.com/', doc_id, ') and [more](http://example.com/more).', chr(10), chr(10), '```python', chr(10), 'x = ', doc_id, chr(10),
+       '```', chr(10), chr(10), '## Part ', doc_id % 5, chr(10), chr(10), 'Closing words.')
+  WHEN 3 THEN concat('<doc><id>', doc_id, '</id><lang>', lang, '</lang><tag>a</tag><tag>b', doc_id % 4, '</tag>',
+       CASE WHEN doc_id % 2 = 0 THEN '<size>12</size>' ELSE '<size>oops' END, '</doc>')
+  WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN concat('name: ', source, chr(10), 'lang: ', lang, chr(10), 'nested:', chr(10), '  size: ', n_chars)
+       ELSE concat('name = "', source, '"', chr(10), '[nested]', chr(10), 'size = ', n_chars) END
+  WHEN 5 THEN CASE WHEN doc_id % 2 = 0
+       THEN concat('import os, sys', chr(10), 'from math import sqrt', chr(10), '@cached', chr(10), 'def f', doc_id, '(a, b) -> int:', chr(10), '    pass', chr(10),
+            'class Box', doc_id, '(Base):', chr(10), '    def run(self):', chr(10), '        # ', source, chr(10), '        return 1')
+       ELSE concat('import x from "lib', doc_id % 3, '"', chr(10), 'const go = (a) => {', chr(10), '  return a }', chr(10), 'function walk', doc_id, '(x) { return x }', chr(10),
+            'export class Tree extends Base { }') END
+  ELSE text END AS payload
+FROM (SELECT doc_id, source, lang, n_chars, text, translate(text, concat('"', chr(92), chr(10), chr(9), chr(13)), '     ') AS clean FROM documents) dd""",
+    # import bundles, valid and broken in eight ways
+    "fx_bundles": """
+SELECT event_id AS bundle_id, event_id % 8 AS kind,
+  CASE event_id % 8
+  WHEN 0 THEN concat('{"project_id": "p', user_id, '", "version": "1.0", "data": {"events": [{"event_id": 1, "data": ', props, '}], "embeddings": [], "agents": []}}')
+  WHEN 1 THEN concat('{"version": "1.0", "data": {"events": [{"event_id": 1, "data": ', props, '}]}}')
+  WHEN 2 THEN concat('{"project_id": "p', user_id, '", "version": "1.0"}')
+  WHEN 3 THEN concat('{"project_id": "p', user_id, '", "version": "1.0", "data": [1, 2]}')
+  WHEN 4 THEN concat('{"project_id": "p', user_id, '", "version": "1.0", "data": {"events": "none", "agents": {}}}')
+  WHEN 5 THEN concat('{"project_id": "p', user_id, '", "version": "1.0", "data": {"events": [{"event_id": 1, "data": 1}, {"event_id": 2}, {"data": 3}]}}')
+  WHEN 6 THEN concat('{"project_id": "p', user_id, '", "data": {"embeddings": 5}}')
+  ELSE concat('{"project_id": "p', user_id, '", "version"') END AS bundle
+FROM events""",
     # requested points in time, per project
     "fx_targets": """
 SELECT concat('proj_', c_custkey % 20) AS project_id, c_custkey AS target_id, c_custkey * 37 % 9500 AS at_sequence
-FROM customer WHERE c_custkey % 10 = 3""",
-    # snapshots taken of each project at some of its own events
+FROM customer""",
+    # snapshots taken of each project, some beyond the end of its log
     "fx_snapshot_points": """
-SELECT concat('proj_', user_id % 20) AS project_id, event_id + 1 AS sequence, ts AS created_at
-FROM events WHERE event_id % 250 = 100""",
+SELECT concat('proj_', o_orderkey % 20) AS project_id, o_orderkey AS sequence, o_orderdate AS created_at
+FROM orders""",
 }
 
 

@@ -235,3 +235,24 @@ RESERVED_FIELDS = ["content", "content_type", "structure", "schema", "records"]
 EMBEDDING_DROPPED_FIELDS = ["content_type", "structure", "schema"]
 MAX_FIELD_DEPTH = 5
 DESCRIPTION_FIELDS = 20
+MD_HEADING = r"^(#{1,6})\s+(.+)$"
+MD_LINK = r"\[([^\]]+)\]\(([^\)]+)\)"
+MD_FENCE = r"(?s)```(\w*)\n(.*?)\n```"
+MD_NODE_FENCE = r"(?s)```(\w*)\n(.*?)```"
+MD_BULLET = r"(?m)^\s*[-*+]\s"
+MD_ORDERED = r"(?m)^\s*\d+\.\s"
+MD_TITLE_CHARS = 100
+MD_SUMMARY_CHARS = 200
+PY_FUNCTION = r"(?m)^\s*def\s+(\w+)\s*\((.*?)\)(?:\s*->\s*([^:]+))?:"
+PY_CLASS = r"(?m)^\s*class\s+(\w+)(?:\(([^)]*)\))?:"
+PY_IMPORT = r"(?m)^\s*import\s+(.+)$"
+PY_FROM = r"(?m)^\s*from\s+(\S+)\s+import"
+PY_DECORATOR = r"(?m)^\s*@(\w+(?:\.\w+)*)"
+JS_FUNCTION = r"function\s+(\w+)\s*\((.*?)\)"
+JS_ARROW = r"(?:const|let|var)\s+(\w+)\s*=\s*(?:\([^)]*\)|[^=])*\s*=>"
+JS_CLASS = r"class\s+(\w+)(?:\s+extends\s+(\w+))?"
+JS_IMPORT = r"import\s+.*?from\s+[\"']([^\"']+)[\"']"
+JS_REQUIRE = r"require\([\"']([^\"']+)[\"']\)"
+JS_EXPORT = r"export\s+(?:const|let|var|function|class)\s+(\w+)"
+COMMENT_MARKS = ["#", "//", "/*", "*"]
+SENTENCE_END = r"[.!?]+\s+"
