@@ -251,37 +251,34 @@ def normalize(df: DataFrame, doc_id: str, payload: str, hint: str | None = None,
               formats: Sequence[FormatRule] = DEFAULT_FORMATS) -> tuple[DataFrame, DataFrame]:
     """(norm_json, format, is_structured) for every payload with a job for its format; the rest
     (formats without a job, XML that does not parse) goes to the second, dead-letter table."""
-    detected = detect_format(df.select(doc_id, payload, *([hint] if hint else [])), payload, hint, formats)
-    detected = detected.select(doc_id, payload, "format")
-
-    def of(name: str) -> DataFrame:
-        return detected.filter(F.col("format") == name)
-
-    def done(rows: DataFrame, json: Column, structured: bool) -> DataFrame:
-        return rows.select(doc_id, "format", F.lit(structured).alias("is_structured"), json.alias("norm_json"))
-
+    source = df.select(doc_id, payload, *([hint] if hint else []))
+    found_ = detect_format(source, payload, hint, formats, "_format").drop(*([hint] if hint else []))
+    detected = staged(found_, format=F.col("_format")).drop("_format")
     c = F.col(payload)
-    tables = csv_tables(of("csv"), payload)
-    records = F.transform("rows", lambda r: F.map_from_arrays("header", r))
-    parts = [
-        done(of("json"), F.to_json(F.try_parse_json(c)), True),
-        done(tables, F.to_json(F.struct(
-            records.alias("records"), F.map_from_arrays("header", "types").alias("schema"),
-            F.size("rows").alias("row_count"), F.size("header").alias("column_count"))), True),
-        done(markdown_structure(of("markdown"), payload), F.to_json(F.struct(
-            c.alias("content"), F.lit("markdown").alias("content_type"), "title", "summary",
-            "heading_count", "link_count", "code_block_count")), False),
-        done(of("code"), F.to_json(F.struct(
-            c.alias("content"), F.lit("code").alias("content_type"), code_language(c).alias("language"))), False),
-        done(of("text"), F.to_json(F.struct(c.alias("content"), F.lit("text").alias("content_type"))), False),
-    ]
-    if xml_schema:
-        good, _ = xml_records(of("xml"), payload, xml_schema, [doc_id, "format"])
-        fields = [f for f in good.columns if f not in (doc_id, "format")]
-        parts.append(done(good, F.to_json(F.struct(*fields)), True))
-    out = reduce(DataFrame.unionByName, parts)
-    rejects = detected.select(doc_id, "format").join(out.select(doc_id), doc_id, "left_anti")
-    return out, rejects
+    is_ = lambda name: F.col("format") == name
+    rows = csv_tables(detected.withColumn("_csv", F.when(is_("csv"), c)), "_csv")
+    rows = rows.withColumn("_xml", F.from_xml(
+        F.when(is_("xml"), c), (xml_schema or "_none STRING") + ", _corrupt_record STRING", {"mode": "PERMISSIVE"}))
+    xml_ok = F.col("_xml").isNotNull() & F.col("_xml._corrupt_record").isNull() & F.lit(xml_schema is not None)
+    text = lambda kind, *more: F.to_json(F.struct(c.alias("content"), F.lit(kind).alias("content_type"), *more))
+    md = markdown_structure(rows.withColumn("_md", F.when(is_("markdown"), c)), "_md")
+    norm = (F.when(is_("json"), F.to_json(F.try_parse_json(c)))
+            .when(is_("csv"), F.to_json(F.struct(
+                F.transform("rows", lambda r: F.map_from_arrays("header", r)).alias("records"),
+                F.map_from_arrays("header", "types").alias("schema"),
+                F.size("rows").alias("row_count"), F.size("header").alias("column_count"))))
+            .when(is_("xml") & xml_ok, F.to_json(F.col("_xml").dropFields("_corrupt_record")))
+            .when(is_("markdown"), text("markdown", "title", "summary", "heading_count", "link_count",
+                                        "code_block_count"))
+            .when(is_("code"), text("code", code_language(c).alias("language")))
+            .when(is_("text"), text("text")))
+    done = md.select(doc_id, "format", is_structured(F.col("format")).alias("is_structured"), norm.alias("norm_json"))
+    return (done.filter(F.col("norm_json").isNotNull()),
+            done.filter(F.col("norm_json").isNull()).select(doc_id, "format"))
+
+
+def is_structured(fmt: Column) -> Column:
+    return fmt.isin("json", "csv", "xml")
 
 
 # --------------------------------------------------------------------------- paths of JSON objects

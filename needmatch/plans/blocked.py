@@ -33,8 +33,9 @@ def cosine_topk(queries: DataFrame, nodes: DataFrame, group: list[str], query_id
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(group, query_id, node_id, similarity): per query the best ``k`` (a column of queries) nodes
     of its group, similarity rounded to ``digits``, ties by node id."""
-    q = queries.select(*group, F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv"), F.col(k).alias("_k"))
-    n = nodes.select(*group, F.col(node_id).alias("_nid"), F.col(node_vec).alias("_nv"))
+    fresh = [F.col(g).alias(g) for g in group]        # both sides may come from one table
+    q = queries.select(*fresh, F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv"), F.col(k).alias("_k"))
+    n = nodes.select(*fresh, F.col(node_id).alias("_nid"), F.col(node_vec).alias("_nv"))
     sizes = _blocks(q, group, block_rows, "_qn").join(_blocks(n, group, block_rows, "_nn"), group)
     cells = [*group, "_qb", "_nb"]
     qs = (q.join(sizes, group)
