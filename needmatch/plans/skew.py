@@ -186,9 +186,10 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: di
 
 
 def chunk_by_time(df: DataFrame, keys: Sequence[str], at: str, max_rows: int, base_seconds: int = 60) -> DataFrame:
-    """Add ``_chunk``: consecutive minutes of a key packed into chunks of about ``max_rows`` rows."""
+    """Add ``_chunk``: consecutive minutes of a key packed into chunks of about ``max_rows`` rows.
+    ``at`` is a bigint of epoch microseconds."""
     keys = list(keys)
-    rows = df.withColumn("_minute", time_slice(at, base_seconds))
+    rows = df.withColumn("_minute", F.floor(F.col(at) / F.lit(base_seconds * 1_000_000)).cast("bigint"))
     per = rows.groupBy(*keys, "_minute").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
     packed = per.select(*keys, "_minute", F.floor(
