@@ -6,6 +6,7 @@ import json
 from collections import deque
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -125,17 +126,23 @@ def admit(accepted: deque, at: int, limit: int, window: int) -> tuple[bool, int]
 
 
 def admit_rows(entry: str | None, rows: pd.DataFrame, window: int) -> tuple[pd.DataFrame, str]:
-    """Fold of ``admit`` over rows (at_us, max_requests) in order."""
+    """Decisions for rows (at_us, max_requests) in time order.
+
+    While a window is full nothing is accepted until its oldest request leaves it, so the fold jumps
+    there by binary search: its cost is the accepted requests, not the rejected ones."""
     accepted = deque(json.loads(entry) if entry else [])
-    ok, counted = [], []
-    for at, limit in zip(rows["at_us"].tolist(), rows["max_requests"].tolist()):
-        allowed, n = admit(accepted, at, limit, window)
-        ok.append(allowed)
-        counted.append(n)
-    out = rows.copy()
-    out["allowed"], out["counted"] = ok, counted
-    out["counted"] = out["counted"].astype("int64")
-    return out, json.dumps(list(accepted))
+    at, limits = rows["at_us"].to_numpy(), rows["max_requests"].to_numpy()
+    ok, counted = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype="int64")
+    steady = len(at) > 0 and bool((limits == limits[0]).all())
+    i = 0
+    while i < len(at):
+        ok[i], counted[i] = admit(accepted, int(at[i]), int(limits[i]), window)
+        nxt = i + 1
+        if steady and not ok[i] and accepted:
+            nxt = max(nxt, int(np.searchsorted(at, accepted[0] + window, side="right")))
+            counted[i:nxt] = counted[i]
+        i = nxt
+    return rows.assign(allowed=ok, counted=counted), json.dumps(list(accepted))
 
 
 def rate_limit(requests: DataFrame, key: str, request_id: str, at: str, limit: int | str,

@@ -7,6 +7,7 @@ single-task bottleneck. Here every key is cut into *slices* along its order; win
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -18,6 +19,7 @@ from ..session import materialize
 SLICE_ROWS = 1 << 20
 SLICE_SECONDS = 600
 MAX_BOUNDS = 4096
+FREE_ROUNDS = 3
 
 
 def id_slice(col: str | Column, rows: int = SLICE_ROWS) -> Column:
@@ -206,7 +208,8 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[st
     pass. For longer keys all chunks run at once from a guessed (empty) entry state; then each chunk
     whose entry differs from its predecessor's exit is run again, until nothing changes. Each round
     settles at least one more chunk, so the result equals the sequential fold; states that soon
-    forget their start (windows, breakers) settle in two or three rounds.
+    forget their start (windows, breakers) settle in two or three rounds. Keys that have not settled
+    by then only run their first stale chunk per round, which keeps the total work linear.
     """
     keys, order = list(keys), list(order)
     busiest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
@@ -236,12 +239,19 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[st
         return need.groupBy(*group).cogroup(states.groupBy(*group)).applyInPandas(
             exit_only, f"{key_ddl}, _entry string, _exit string")
 
-    start = chunked.select(*group).distinct().withColumn("_entry", F.lit(None).cast("string"))
+    start = chunked.select(*[F.col(c).alias(c) for c in group]).distinct().withColumn(
+        "_entry", F.lit(None).cast("string"))
     states = materialize(run(start), "states")
     along = Window.partitionBy(*keys).orderBy("_chunk")
-    while True:
+    for round_no in itertools.count():
         linked = states.withColumn("_next", F.lag("_exit").over(along))
         stale = ~F.col("_next").eqNullSafe(F.col("_entry"))
+        if round_no >= FREE_ROUNDS:
+            first = F.min(F.when(stale, F.col("_chunk"))).over(Window.partitionBy(*keys))
+            linked = linked.withColumn("_first", first)
+            if linked.filter(stale).isEmpty():
+                break
+            stale = F.coalesce(F.col("_chunk") == F.col("_first"), F.lit(False))
         changed = linked.filter(stale).select(*group, F.col("_next").alias("_entry"))
         if changed.isEmpty():
             break
