@@ -164,7 +164,7 @@ def e10(spark, d):
 
 
 @query("e11_latest_snapshot", """
-SELECT project_id, arg_max(sequence, created_at) AS sequence, max(created_at) AS created_at FROM fx_snapshot_points GROUP BY 1""")
+SELECT project_id, sequence, created_at FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, sequence DESC) AS rn FROM fx_snapshot_points) WHERE rn = 1""")
 def e11(spark, d):
     return ev.latest_snapshot(fx(spark, d, "fx_snapshot_points"))
 

@@ -7,10 +7,11 @@ that reading a fixture stays a pure scan at any size.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import BASE_TABLES
+from ..sources.tables import BASE_TABLES, read_table, spread
 
 NOW = "2024-01-31 00:00:00"
 
@@ -182,9 +183,21 @@ def with_fixtures(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+# texts are parsed and tokenized: deal them out where the files are few
+TEXTS = ["documents", "conversations", "pages"]
+
+
 def fx(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Fixture as a DataFrame over the parquet files of ``folder``."""
-    sql = FIXTURES[name]
+    sql, views = FIXTURES[name], []
     for table in BASE_TABLES:
-        sql = re.sub(rf"\bFROM {table}\b", f"FROM parquet.`{folder}/{table}.parquet`", sql)
-    return spark.sql(sql)
+        if table in TEXTS and re.search(rf"\bFROM {table}\b", sql):
+            views.append(f"texts_{uuid.uuid4().hex}")
+            spread(read_table(spark, folder, table)).createOrReplaceTempView(views[-1])
+            sql = re.sub(rf"\bFROM {table}\b", f"FROM {views[-1]}", sql)
+        else:
+            sql = re.sub(rf"\bFROM {table}\b", f"FROM parquet.`{folder}/{table}.parquet`", sql)
+    df = spark.sql(sql)
+    for view in views:
+        spark.catalog.dropTempView(view)
+    return df

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import ingest as ing, nodes as nd
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 from .fixtures import fx
 from .ingest import PAYLOAD_FIELDS
 from .registry import query
@@ -48,7 +48,7 @@ WITH {TEXT_NODES}
 SELECT doc_id, CAST(ord AS INTEGER) AS ord, CASE WHEN one THEN 'sentence_' ELSE 'paragraph_' END || ord AS path, content,
   CASE WHEN one THEN 'sentence' ELSE 'paragraph' END AS node_type FROM n""")
 def n3(spark, d):
-    return nd.text_nodes(read_table(spark, d, "documents"), "doc_id", "text")
+    return nd.text_nodes(spread(read_table(spark, d, "documents")), "doc_id", "text")
 
 
 @query("n4_markdown_nodes", r"""
@@ -123,7 +123,7 @@ def n9(spark, d):
 WITH {TEXT_NODES}
 SELECT doc_id, replace(string_agg(content, chr(1) ORDER BY ord), chr(1), CASE WHEN one THEN ' ' ELSE E'\\n\\n' END) AS text FROM n GROUP BY doc_id, one""")
 def n10(spark, d):
-    return nd.reassemble_text(nd.text_nodes(read_table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return nd.reassemble_text(nd.text_nodes(spread(read_table(spark, d, "documents")), "doc_id", "text"), "doc_id")
 
 
 @query("n10_reassemble_markdown", r"""

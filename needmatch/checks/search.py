@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import encoders as enc, search as se
-from ..sources.tables import read_table
+from ..session import materialize
+from ..sources.tables import read_table, spread
 from .fixtures import fx
 from .registry import query
 
@@ -23,7 +24,7 @@ def vq(spark, d, k=10, t=T):
 
 @query("v1_embed")
 def v1(spark, d):
-    docs = enc.embed(read_table(spark, d, "documents").select("doc_id", "text"), "text")
+    docs = enc.embed(spread(read_table(spark, d, "documents")).select("doc_id", "text"), "text")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return docs.select("doc_id", F.size("vector").alias("dim"), F.round(norm, 4).alias("norm"))
 
@@ -46,7 +47,7 @@ h AS (SELECT w.text_hash, c.text_hash IS NOT NULL AS hit FROM w LEFT JOIN c ON c
 
 
 def cached(spark, d):
-    conv = read_table(spark, d, "conversations")
+    conv = spread(read_table(spark, d, "conversations"))
     return enc.embed_cached(conv, "text", cache(spark, d), AS_OF, lambda m: enc.embed(m, "text"))
 
 
@@ -106,19 +107,24 @@ sc AS (SELECT query_id, doc_id, round(max(s), 6) AS score FROM fs GROUP BY 1, 2)
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 20)"""
 
 
+def index(spark, d):
+    corpus = fx(spark, d, "fx_corpus")
+    postings = materialize(se.bm25_index(corpus, "doc_id", ["content", "metadata"]), "postings")
+    return postings, se.bm25_stats(postings, corpus)
+
+
 def lex(spark, d, k=10):
-    postings, stats = se.bm25_index(fx(spark, d, "fx_corpus"), "doc_id", ["content", "metadata"])
-    return se.bm25_search(fx(spark, d, "fx_text_queries"), "query_id", "query", postings, stats, k)
+    return se.bm25_search(fx(spark, d, "fx_text_queries"), "query_id", "query", *index(spark, d), k)
 
 
 @query("v7_bm25_index", f"WITH {INDEX_SQL} SELECT field, doc_id, term, CAST(dl AS BIGINT) AS dl, tf FROM po")
 def v7(spark, d):
-    return se.bm25_index(fx(spark, d, "fx_corpus"), "doc_id", ["content", "metadata"])[0]
+    return se.bm25_index(fx(spark, d, "fx_corpus"), "doc_id", ["content", "metadata"])
 
 
 @query("v7_bm25_stats", f"WITH {INDEX_SQL} SELECT field, docs, round(avgdl, 6) AS avgdl FROM st")
 def v7s(spark, d):
-    return se.bm25_index(fx(spark, d, "fx_corpus"), "doc_id", ["content", "metadata"])[1].withColumn("avgdl", F.round("avgdl", 6))
+    return index(spark, d)[1].withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("v8_bm25_search", f"WITH {SCORE_SQL} SELECT * FROM lex")

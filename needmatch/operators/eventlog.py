@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import EVENTS_PAGE, SNAPSHOTS_KEPT
 from ..plans.skew import as_of, id_slice, sliced_lag, sliced_row_number, time_slice
+from ..session import materialize
 
 
 def latest_sequence(log: DataFrame) -> DataFrame:
@@ -62,18 +63,17 @@ def events_since(log: DataFrame, cursors: DataFrame, cursor_id: str, since: str,
     """First ``count`` events after each cursor, ascending.
 
     Cursors become start positions by an as-of lookup and are expanded to ``count`` positions, so
-    the join is an equi join of cursors*count rows, never cursor times log."""
-    placed = positions(log)
+    the joins are equi joins of cursors*count rows, never cursor times log. Positions are a narrow
+    table of their own; the events themselves are read once, at the end."""
+    placed = materialize(positions(log.select("project_id", "sequence")), "positions")
     starts = as_of(cursors.select("project_id", cursor_id, parse_since(since).alias("_since")),
-                   placed.select("project_id", "sequence", "position"),
-                   ["project_id"], "_since", "sequence", ["position"])
+                   placed, ["project_id"], "_since", "sequence", ["position"])
     wanted = starts.select(
-        "project_id", cursor_id,
-        F.explode(F.sequence(F.lit(1), F.lit(count))).alias("n"),
+        "project_id", cursor_id, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(count).cast("bigint"))).alias("n"),
         F.coalesce("position", F.lit(0)).alias("_from")
-    ).select("project_id", cursor_id, F.col("n").cast("bigint").alias("n"),
-             (F.col("_from") + F.col("n")).alias("position"))
-    return placed.join(wanted, ["project_id", "position"]).drop("position")
+    ).select("project_id", cursor_id, "n", (F.col("_from") + F.col("n")).alias("position"))
+    found = placed.join(wanted, ["project_id", "position"]).drop("position")
+    return log.join(found, ["project_id", "sequence"])
 
 
 def all_events(log: DataFrame, count: int | None = None, event_type: str | None = None) -> DataFrame:
@@ -127,7 +127,7 @@ def create_snapshots(log: DataFrame, targets: DataFrame, target_id: str, at: str
               .withColumn(at, F.coalesce(at, "latest_sequence", F.lit(0))).drop("latest_sequence"))
     entries = state_as_of(log, filled, target_id, at)
     replayed = as_of(filled.select("project_id", target_id, at),
-                     positions(log).select("project_id", "sequence", "position"),
+                     materialize(positions(log.select("project_id", "sequence")), "positions"),
                      ["project_id"], at, "sequence", ["position"])
     keys = entries.groupBy("project_id", target_id).agg(F.count(F.lit(1)).alias("data_keys"))
     return (entries.join(replayed, ["project_id", target_id]).join(keys, ["project_id", target_id])

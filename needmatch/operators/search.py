@@ -80,16 +80,22 @@ def tokens(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def bm25_index(docs: DataFrame, doc_id: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(postings: field, doc_id, term, tf, dl; stats: field, docs, avgdl) over the whole corpus."""
+def bm25_index(docs: DataFrame, doc_id: str, fields: list[str]) -> DataFrame:
+    """Postings (field, doc_id, term, tf, dl) of the whole corpus; write them as a table to search
+    them more than once."""
     def one(field: str) -> DataFrame:
         return (docs.select(F.lit(field).alias("field"), F.col(doc_id).alias("doc_id"), tokens(field).alias("_t"))
                 .withColumn("dl", F.size("_t").cast("bigint")))
     rows = reduce(DataFrame.unionByName, [one(f) for f in fields])
-    postings = (rows.select("field", "doc_id", "dl", F.explode("_t").alias("term"))
-                .groupBy("field", "doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
-    stats = rows.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
-    return postings, stats
+    return (rows.select("field", "doc_id", "dl", F.explode("_t").alias("term"))
+            .groupBy("field", "doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def bm25_stats(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """(field, docs, avgdl); documents without a token count too."""
+    n = docs.agg(F.count(F.lit(1)).alias("docs"))
+    total = postings.groupBy("field").agg(F.sum("tf").alias("_t"))
+    return total.join(F.broadcast(n)).select("field", "docs", (F.col("_t") / F.col("docs")).alias("avgdl"))   # n: one row
 
 
 def bm25_scores(queries: DataFrame, query_id: str, query_text: str, postings: DataFrame, stats: DataFrame,

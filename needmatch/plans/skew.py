@@ -128,14 +128,13 @@ def as_of(targets: DataFrame, rows: DataFrame, keys: Sequence[str], target_at: s
 
 def value_slices(df: DataFrame, value: str, rows_per_slice: int = SLICE_ROWS) -> DataFrame:
     """Add ``_slice`` by quantile bounds of ``value`` so that no slice holds many more than
-    ``rows_per_slice`` distinct rows. The bounds (at most MAX_BOUNDS numbers) are the only thing
-    that reaches the driver."""
-    n = df.count()
-    parts = min(MAX_BOUNDS, -(-n // rows_per_slice))
+    ``rows_per_slice`` rows (distinct values). The bounds, at most MAX_BOUNDS numbers, are the only
+    thing that reaches the driver."""
+    parts = min(MAX_BOUNDS, -(-df.count() // rows_per_slice))
     if parts <= 1:
         return df.withColumn("_slice", F.lit(0).cast("bigint"))
     shares = [i / parts for i in range(1, parts)]
-    bounds = df.agg(F.percentile_approx(value, shares, 10 * parts).alias("b")).first()["b"]
+    bounds = df.agg(F.percentile_approx(value, shares, 4 * MAX_BOUNDS).alias("b")).first()["b"]
     splits = [float("-inf"), *sorted(set(map(float, bounds))), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(
         df.withColumn("_v", F.col(value).cast("double")))
@@ -150,7 +149,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict
     totals locate the slice of each rank and only those slices are ranked.
     """
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counted = materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
+                          .agg(F.count(F.lit(1)).alias("_c")), "counted")       # read three times below
     sliced = value_slices(counted, value, rows_per_slice)
     per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_in"))
     upto = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)

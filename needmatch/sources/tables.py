@@ -14,6 +14,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For CPU-heavy work per row (parsing, tokenizing): a table with fewer input splits than cores is
+    dealt out to all cores; any larger one is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_events(log: DataFrame, project: str | None = None, event_type: str | None = None,
                 after_sequence: int | None = None, start=None, end=None) -> DataFrame:
     """Event log with optional predicates; all of them reach the parquet scan."""
