@@ -140,10 +140,9 @@ vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 def vec(spark, d, k=10):
-    e = read_table(spark, d, "embeddings").withColumn("index", F.lit("all"))
-    q = fx(spark, d, "fx_text_queries").join(e, F.col("query_id") == F.col("vec_id")).select("index", "query_id", "embedding")
-    n = e.select("index", F.col("vec_id").alias("doc_id"), "embedding")
-    return se.vector_topk(q, n, ["index"], "query_id", "doc_id", 2 * k, -1.0).drop("index")
+    e = read_table(spark, d, "embeddings")
+    q = fx(spark, d, "fx_text_queries").join(e, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    return se.vector_topk(q, e.withColumnRenamed("vec_id", "doc_id"), [], "query_id", "doc_id", 2 * k, -1.0)
 
 
 @query("v9_hybrid_union", f"""

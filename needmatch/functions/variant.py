@@ -9,11 +9,12 @@ MAX_DEPTH = 6
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))
+    """Shallow test: nothing below the first level is looked at."""
+    return v.try_cast("map<string,variant>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY<"), F.lit(False))
+    return v.try_cast("array<variant>").isNotNull()
 
 
 def is_object_array(v: Column) -> Column:

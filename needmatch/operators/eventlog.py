@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import EVENTS_PAGE, SNAPSHOTS_KEPT
-from ..plans.skew import as_of, id_slice, sliced_lag, sliced_row_number, time_slice
+from ..plans.skew import as_of, id_slice, sliced_lag, sliced_row_number, time_slice, top_per_key
 from ..session import materialize
 
 
@@ -82,8 +82,7 @@ def all_events(log: DataFrame, count: int | None = None, event_type: str | None
         log = log.filter(F.col("event_type") == event_type)
     if count is None:
         return log
-    w = Window.partitionBy("project_id").orderBy("sequence")
-    return log.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= count).drop("_rn")
+    return top_per_key(log, ["project_id"], ["sequence"], count)
 
 
 def stream_length(log: DataFrame) -> DataFrame:
@@ -144,8 +143,7 @@ def latest_snapshot(snaps: DataFrame) -> DataFrame:
 
 def keep_latest_snapshots(snaps: DataFrame, n: int = SNAPSHOTS_KEPT) -> DataFrame:
     """Newest ``n`` snapshots of each project with their rank."""
-    w = Window.partitionBy("project_id").orderBy(F.col("created_at").desc(), F.col("sequence").desc())
-    return snaps.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
+    return top_per_key(snaps, ["project_id"], [F.col("created_at").desc(), F.col("sequence").desc()], n, "rank")
 
 
 def list_snapshots(snaps: DataFrame, limit: int = SNAPSHOTS_KEPT) -> DataFrame:
@@ -187,8 +185,7 @@ def state_from_snapshot(log: DataFrame, entries: DataFrame, snaps: DataFrame, ta
 
 def version_history(log: DataFrame, limit: int) -> DataFrame:
     """Newest ``limit`` versions of every data key."""
-    w = Window.partitionBy("project_id", "data_key").orderBy(F.col("sequence").desc())
-    return log.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= limit)
+    return top_per_key(log, ["project_id", "data_key"], [F.col("sequence").desc()], limit, "rank")
 
 
 def version_at(log: DataFrame, keys: DataFrame) -> DataFrame:

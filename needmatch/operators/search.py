@@ -9,10 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
-from ..plans.blocked import cosine_topk
+from ..plans.blocked import cosine_topk, weighted_terms_topk
+from ..plans.skew import top_per_key
+from ..session import materialize
 
 SCORE_DIGITS = 6
 ANN_MAX_CELLS = 1024
@@ -40,7 +42,8 @@ def vector_topk(queries: DataFrame, nodes: DataFrame, group: list[str], query_id
     """Per query the best ``k`` nodes of its group at or above ``threshold`` (numbers or columns
     of queries). Cutting to k first gives the same rows: the order is by similarity."""
     q = _limits(queries, k, threshold)
-    best = cosine_topk(q, nodes, group, query_id, node_id, query_vec, node_vec, "k", SCORE_DIGITS)
+    best = cosine_topk(q, nodes, group, query_id, node_id, query_vec, node_vec, "k", SCORE_DIGITS,
+                       max_k=k if isinstance(k, int) else None)
     return (best.join(q.select(*group, query_id, "_threshold"), [*group, query_id])
             .filter(F.col("similarity") >= F.col("_threshold")).drop("_threshold"))
 
@@ -68,10 +71,9 @@ def vector_topk_ann(queries: DataFrame, nodes: DataFrame, group: list[str], quer
     placed = model.transform(vec).drop("_features")
     asked = (queries.withColumn("k", F.lit(k)).withColumn("_cells", nearest(F.col(query_vec)))
              .withColumn("_cell", F.explode("_cells")).drop("_cells"))
-    found = cosine_topk(asked, placed, [*group, "_cell"], query_id, node_id, query_vec, node_vec, "k", SCORE_DIGITS)
-    w = Window.partitionBy(*group, query_id).orderBy(F.col("similarity").desc(), F.col(node_id))
-    return (found.drop("rank").withColumn("rank", F.row_number().over(w).cast("bigint"))
-            .filter(F.col("rank") <= k).drop("_cell"))
+    found = cosine_topk(asked, placed, [*group, "_cell"], query_id, node_id, query_vec, node_vec, "k",
+                        SCORE_DIGITS, max_k=k)
+    return rank_per(found.drop("rank", "_cell"), [*group, query_id], "similarity", node_id, k)
 
 
 # --------------------------------------------------------------------------- lexical
@@ -98,44 +100,37 @@ def bm25_stats(postings: DataFrame, docs: DataFrame) -> DataFrame:
     return total.join(F.broadcast(n)).select("field", "docs", (F.col("_t") / F.col("docs")).alias("avgdl"))   # n: one row
 
 
-def bm25_scores(queries: DataFrame, query_id: str, query_text: str, postings: DataFrame, stats: DataFrame,
-                boosts: dict[str, float] | None = None, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
-    """(query_id, doc_id, score): best boosted field score of every document sharing a term.
-
-    Only postings of query terms are joined; document frequencies are counted on those alone."""
+def bm25_search(queries: DataFrame, query_id: str, query_text: str, postings: DataFrame, stats: DataFrame,
+                k: int = C.MAX_MATCHES, docs: DataFrame | None = None, boosts: dict[str, float] | None = None,
+                k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
+    """(query_id, doc_id, score, rank): best 2*k documents per query, the score being that of the best
+    boosted field; with ``docs`` (doc_id, project_id) only documents of the query's own project.
+    Statistics stay those of the whole index.
+
+    Only postings of query terms take part. Document frequencies are counted on those, and scores are
+    summed block by block, so (query, document) pairs are never rows of a table."""
     boosts = boosts or C.BM25_FIELD_BOOSTS
     terms = (queries.select(query_id, F.explode(tokens(query_text)).alias("term"))
              .groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf")))
     wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    boost = reduce(lambda acc, kv: acc.when(F.col("field") == kv[0], F.lit(float(kv[1]))),
-                   list(boosts.items())[1:], F.when(F.col("field") == next(iter(boosts)),
-                                                    F.lit(float(next(iter(boosts.values()))))))
-    weights = (terms.join(df, "term").join(stats, "field")
-               .withColumn("w", F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-                           * F.col("qtf") * F.coalesce(boost, F.lit(1.0)))
-               .select("field", "term", query_id, "w", "avgdl"))
+    boost = F.coalesce(*[F.when(F.col("field") == name, F.lit(float(x))) for name, x in boosts.items()], F.lit(1.0))
+    idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = (terms.join(df, "term").join(F.broadcast(stats), "field")              # stats: one row per field
+               .select(query_id, "field", "term", (idf * F.col("qtf") * boost).alias("w")))
     tf = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    return (wanted.join(weights, ["field", "term"])
-            .groupBy(query_id, "doc_id", "field").agg(F.sum(F.col("w") * tf).alias("_s"))
-            .groupBy(query_id, "doc_id").agg(F.round(F.max("_s"), SCORE_DIGITS).alias("score")))
-
-
-def bm25_search(queries: DataFrame, query_id: str, query_text: str, postings: DataFrame, stats: DataFrame,
-                k: int = C.MAX_MATCHES, docs: DataFrame | None = None, **options) -> DataFrame:
-    """Best 2*k documents per query; with ``docs`` (doc_id, project_id) only documents of the
-    query's own project. Statistics stay those of the whole index."""
-    scores = bm25_scores(queries, query_id, query_text, postings, stats, **options)
+    nodes = wanted.join(F.broadcast(stats), "field").select("doc_id", "field", "term", tf.alias("f"))
+    group: list[str] = []
     if docs is not None:
-        scores = (scores.join(docs.select("doc_id", "project_id"), "doc_id")
-                  .join(queries.select(query_id, "project_id"), [query_id, "project_id"], "left_semi")
-                  .drop("project_id"))
-    return rank_per(scores, [query_id], "score", "doc_id", C.CANDIDATE_FACTOR * k)
+        group = ["project_id"]
+        weights = weights.join(queries.select(query_id, "project_id"), query_id)
+        nodes = nodes.join(docs.select("doc_id", "project_id"), "doc_id")
+    weights, nodes = materialize(weights, "weights"), materialize(nodes, "query-postings")     # read several times
+    return weighted_terms_topk(weights, nodes, group, query_id, "doc_id", C.CANDIDATE_FACTOR * k, SCORE_DIGITS)
 
 
 def rank_per(df: DataFrame, keys: list[str], score: str, tie: str, n: int, out: str = "rank") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(tie))
-    return df.withColumn(out, F.row_number().over(w).cast("bigint")).filter(F.col(out) <= n)
+    return top_per_key(df, keys, [F.col(score).desc(), F.col(tie)], n, out)
 
 
 # --------------------------------------------------------------------------- fusion

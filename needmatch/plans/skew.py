@@ -126,6 +126,14 @@ def as_of(targets: DataFrame, rows: DataFrame, keys: Sequence[str], target_at: s
             .select(*keys, "_target.*", *[F.col("_found")[v].alias(v) for v in values]))
 
 
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, out: str | None = None) -> DataFrame:
+    """First ``n`` rows per key in ``order``. The limit is a literal right above the window, so every
+    task cuts to ``n`` rows per key before the shuffle; meant for small ``n``."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    best = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    return (best.withColumn(out, F.col("_rn").cast("bigint")) if out else best).drop("_rn")
+
+
 def value_slices(df: DataFrame, value: str, rows_per_slice: int = SLICE_ROWS) -> DataFrame:
     """Add ``_slice`` by quantile bounds of ``value`` so that no slice holds many more than
     ``rows_per_slice`` rows (distinct values). The bounds, at most MAX_BOUNDS numbers, are the only
