@@ -37,12 +37,11 @@ SELECT concat('agent_', c_custkey) AS agent_id, concat('proj_', c_custkey % 20)
        CASE WHEN c_custkey % 6 = 0 THEN concat('https://hooks.example.com/', c_custkey) END AS webhook_url
 FROM customer""",
     # keys tracked by each agent (three of the 15)
-    "fx_agent_keys": """
+    "fx_agent_keys": " UNION ALL ".join(f"""
 SELECT concat('agent_', c_custkey) AS agent_id, concat('proj_', c_custkey % 20) AS project_id,
-       concat(CASE (c_custkey + k) % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup'
-              ELSE 'error' END, '_', k) AS data_key
-FROM customer, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks""",
-    # needs of each agent: two vectors to match within its project
+       concat(CASE (c_custkey + {k}) % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup'
+              ELSE 'error' END, '_{k}') AS data_key
+FROM customer""" for k in range(3)),
     "fx_keys": """
 SELECT concat('key_', s_suppkey) AS key_id, concat('ck_', s_suppkey) AS raw_key, concat('tenant_', s_suppkey % 5) AS tenant_id,
        CASE s_suppkey % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'publisher' WHEN 2 THEN 'consumer' WHEN 3 THEN 'readonly' END AS role,

@@ -22,7 +22,7 @@ def vq(spark, d, k=10, t=T):
                           "query_id", "vec_id", k, t)
 
 
-@query("v1_embed")
+@query("v1_embed", "SELECT doc_id, 256 AS dim, 1.0::DOUBLE AS norm FROM documents")
 def v1(spark, d):
     docs = enc.embed(spread(read_table(spark, d, "documents")).select("doc_id", "text"), "text")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -167,9 +167,9 @@ def v10(spark, d):
 
 
 # two needs per agent; projects 10 and 11 have no nodes
-NEEDS = """
-SELECT concat('agent_', c_custkey) AS agent_id, concat('proj_', c_custkey % 12) AS project_id, need_no, (c_custkey * 2 + need_no) % 500 AS vec_id
-FROM customer, (SELECT 0 AS need_no UNION ALL SELECT 1) nn"""
+NEEDS = " UNION ALL ".join(f"""
+SELECT concat('agent_', c_custkey) AS agent_id, concat('proj_', c_custkey % 12) AS project_id, {n} AS need_no, (c_custkey * 2 + {n}) % 500 AS vec_id
+FROM customer""" for n in range(2))
 
 
 def needs(spark, d):
