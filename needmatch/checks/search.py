@@ -198,6 +198,18 @@ def v11(spark, d):
     return se.match_needs(needs(spark, d), need_matches(spark, d), ["agent_id", "project_id", "need"])[1]
 
 
+@query("v11_match_needs_hybrid", f"""
+WITH {SCORE_SQL}, {VEC_SQL},
+u AS (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.doc_id, v.doc_id) AS doc_id, coalesce(l.score, 0.0) AS ks, coalesce(v.similarity, 0.0) AS vs
+      FROM (SELECT * FROM lex WHERE score >= 5.0) l FULL JOIN (SELECT * FROM vec WHERE similarity >= {T}) v ON v.query_id = l.query_id AND v.doc_id = l.doc_id),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY greatest(ks / 10.0, vs) DESC, doc_id) AS rn FROM u),
+y AS (SELECT query_id, doc_id, round(greatest(least(0.5 + ks / 12.0, 1.0), vs), 6) AS similarity FROM z WHERE rn <= 10)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM y) WHERE rank <= 5""")
+def v11h(spark, d):
+    return se.hybrid_matches(lex(spark, d), vec(spark, d), "query_id", 5, vector_threshold=T).select(
+        "query_id", "doc_id", "similarity", "rank")
+
+
 @query("v12_adhoc_query", f"WITH {TOPK_SQL} SELECT * FROM r WHERE rank <= 1 + query_id % 7 AND similarity >= 0.1 * (query_id % 4)")
 def v12(spark, d):
     q = fx(spark, d, "fx_vector_queries").withColumn("top_k", 1 + F.col("query_id") % 7).withColumn("min_sim", 0.1 * (F.col("query_id") % 4))

@@ -161,6 +161,13 @@ def hybrid_rrf(lex: DataFrame, vec: DataFrame, query_id: str, n: int, k: int = C
     return rank_per(fused, [query_id], "score", "doc_id", n)
 
 
+def hybrid_matches(lex: DataFrame, vec: DataFrame, query_id: str, k: int = C.MAX_MATCHES, **thresholds) -> DataFrame:
+    """Hybrid hits of needs: fetch 2*k by the best raw score, order again by the reported similarity,
+    keep ``k``."""
+    wide = hybrid_union(lex, vec, query_id, C.CANDIDATE_FACTOR * k, **thresholds)
+    return rank_per(wide.drop("rank"), [query_id], "similarity", "doc_id", k)
+
+
 def match_needs(needs: DataFrame, matches: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(matches, hits per need with zeros): needs without a hit stay with 0."""
     hits = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import materialize
 
 SLICE_ROWS = 1 << 20
-SLICE_SECONDS = 600
+SLICE_SECONDS = 3600
 MAX_BOUNDS = 4096
 FREE_ROUNDS = 3
 
@@ -195,16 +195,13 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: di
     return stats.drop(*ranks)
 
 
-def chunk_by_time(df: DataFrame, keys: Sequence[str], at: str, max_rows: int, base_seconds: int = 60) -> DataFrame:
-    """Add ``_chunk``: consecutive minutes of a key packed into chunks of about ``max_rows`` rows.
-    ``at`` is a bigint of epoch microseconds."""
-    keys = list(keys)
-    rows = df.withColumn("_minute", F.floor(F.col(at) / F.lit(base_seconds * 1_000_000)).cast("bigint"))
-    per = rows.groupBy(*keys, "_minute").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    packed = per.select(*keys, "_minute", F.floor(
-        F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(max_rows)).cast("bigint").alias("_chunk"))
-    return rows.join(packed, [*keys, "_minute"]).drop("_minute")
+def chunks_of_key(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], max_rows: int,
+                  base_seconds: int = 60) -> DataFrame:
+    """Add ``_chunk``: exactly ``max_rows`` consecutive rows of a key each (the last one fewer).
+    ``at``, the first column of ``order``, is a bigint of epoch microseconds."""
+    minute = F.floor(F.col(at) / F.lit(base_seconds * 1_000_000)).cast("bigint")
+    placed = sliced_row_number(df, keys, minute, list(order), "_pos")
+    return placed.withColumn("_chunk", F.floor((F.col("_pos") - 1) / F.lit(max_rows)).cast("bigint")).drop("_pos")
 
 
 def chunked_fold(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str],
@@ -212,24 +209,32 @@ def chunked_fold(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[st
                  schema: str, max_rows: int = SLICE_ROWS, base_seconds: int = 60) -> DataFrame:
     """Exact order-dependent fold per key where no task sees more than a chunk of a key.
 
-    ``fold(entry_state, rows_in_order) -> (output rows, exit_state)``. Keys of one chunk need one
-    pass. For longer keys all chunks run at once from a guessed (empty) entry state; then each chunk
-    whose entry differs from its predecessor's exit is run again, until nothing changes. Each round
-    settles at least one more chunk, so the result equals the sequential fold; states that soon
-    forget their start (windows, breakers) settle in two or three rounds. Keys that have not settled
-    by then only run their first stale chunk per round, which keeps the total work linear.
+    ``fold(entry_state, rows_in_order) -> (output rows, exit_state)``. Keys of at most ``max_rows`` rows
+    need one pass. For longer keys (there are few: rows / max_rows) all chunks run at once from a
+    guessed (empty) entry state; then each chunk whose entry differs from its predecessor's exit is run
+    again, until nothing changes. Each round settles at least one more chunk, so the result equals the
+    sequential fold; states that soon forget their start (windows, breakers) settle in two or three
+    rounds. Keys that have not settled by then only run their first stale chunk per round, which keeps
+    the total work linear.
     """
     keys, order = list(keys), list(order)
-    busiest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     by_row = [*order]
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         return fold(None, pdf.sort_values(by_row, kind="stable"))[0]
 
-    if busiest <= max_rows:
+    long_keys = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                            .filter(F.col("_n") > max_rows).select(*keys), "long-keys")
+    if long_keys.isEmpty():
         return df.groupBy(*keys).applyInPandas(whole, schema)
+    short = df.join(long_keys, keys, "left_anti").groupBy(*keys).applyInPandas(whole, schema)
+    return short.unionByName(_fold_long(df.join(long_keys, keys, "left_semi"), keys, at, by_row, fold, schema,
+                                        max_rows, base_seconds))
+
 
-    chunked = materialize(chunk_by_time(df, keys, at, max_rows, base_seconds), "chunks")
+def _fold_long(df: DataFrame, keys: list[str], at: str, by_row: list[str], fold, schema: str,
+               max_rows: int, base_seconds: int) -> DataFrame:
+    chunked = materialize(chunks_of_key(df, keys, at, by_row, max_rows, base_seconds), "chunks")
     group = [*keys, "_chunk"]
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunked.select(*group).schema)
 
