@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_scratch: str | None = None
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings that results depend on (runtime settings only, safe on any cluster)."""
@@ -19,17 +16,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests) one temporary folder per process is used.
+    Where the session names none (tests), one beside the tables of the warehouse, which is shared as well.
     """
-    global _local_scratch
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_scratch is None:
-        _local_scratch = tempfile.mkdtemp(prefix="needmatch-")
-    return _local_scratch
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
