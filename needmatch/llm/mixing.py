@@ -1,10 +1,11 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every source has a target number of words, so each of its documents should be copied target / size times on average.
-The whole part of that number is sure; the fractions are rounded together. Two documents at a time, mass (words times
-fraction) moves from one to the other, at random but without bias, until one fraction is 0 or 1; the sum stays. Groups
-of bounded size round their own documents and hand one open document each up a reduction tree, so no source is ever
-gathered in one task, and a source ends at most one small document away from its target.
+The whole part of that number is sure; the fractions are rounded together. Mass (words times fraction) moves within a
+pair, at random but without bias, until one side is integral; the sum stays. Groups of bounded size pair each document,
+largest first, with the pool of all smaller ones, which share one fraction; so what stays open is small. Each group
+hands its open document up a reduction tree, where open documents are paired two by two. No source is ever gathered in
+one task, and a source ends at most one small document away from its target.
 
 Targets: sources in order of their names, null last, weigh ``weights`` in turn and share the words of all documents;
 a target stops at ``most`` times its source's size, and the excess goes to the others by weight until none is above.
@@ -64,32 +65,49 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST) -> Dat
         .otherwise(F.col("weight") * F.col("settled.level")).alias("target"))
 
 
-def pivot(sizes: np.ndarray, fractions: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
-    """Rounds fractions in order; gives 0, 1 or -1 (still open) for each, and the open one's place or -1."""
-    out, open_at, p, a = np.full(len(sizes), -1, np.int32), -1, 0.0, 0.0
-    for j, (b, q, u) in enumerate(zip(sizes.tolist(), fractions.tolist(), draws.tolist(), strict=True)):
-        if q <= 0.0 or q >= 1.0:
-            out[j] = int(q >= 1.0)
+def transfer(a: float, p: float, b: float, q: float, draw: float) -> tuple[float, float, bool, bool]:
+    """Moves mass between two sides with masses a, b and fractions p, q; gives both fractions, and which is integral."""
+    to_first, to_second = min((1.0 - p) * a, q * b), min(p * a, (1.0 - q) * b)
+    if draw * (to_first + to_second) < to_second:
+        first, second = (1.0 - p) * a <= q * b, q * b <= (1.0 - p) * a
+        return (1.0 if first else p + to_first / a), (0.0 if second else q - to_first / b), first, second
+    first, second = p * a <= (1.0 - q) * b, (1.0 - q) * b <= p * a
+    return (0.0 if first else p - to_second / a), (1.0 if second else q + to_second / b), first, second
+
+
+def pool_rounding(masses: np.ndarray, fraction: float, draws: np.ndarray) -> np.ndarray:
+    """Rounds documents of one common fraction, in order: each is paired with the pool of all after it.
+
+    Gives fractions of which at most one isn't 0 or 1.
+    """
+    out = np.full(len(masses), fraction)
+    pools = np.concatenate([np.cumsum(masses[::-1])[::-1][1:], [0.0]])
+    for j, (a, pool, draw) in enumerate(zip(masses.tolist(), pools.tolist(), draws.tolist(), strict=True)):
+        if fraction in (0.0, 1.0) or not pool:
+            out[j:] = fraction
+            break
+        out[j], fraction, _, emptied = transfer(a, fraction, pool, fraction, draw)
+        if emptied:
+            out[j + 1:] = fraction
+            break
+    return out
+
+
+def pair_rounding(masses: np.ndarray, fractions: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Rounds documents of different fractions, in order: the open one is paired with the next.
+
+    Gives fractions of which at most one isn't 0 or 1.
+    """
+    out, held = fractions.copy(), -1
+    for j, draw in enumerate(draws.tolist()):
+        if out[j] in (0.0, 1.0):
             continue
-        if open_at < 0:
-            open_at, p, a = j, q, b
+        if held < 0:
+            held = j
             continue
-        to_open, from_open = min((1.0 - p) * a, q * b), min(p * a, (1.0 - q) * b)
-        gains = u * (to_open + from_open) < from_open
-        moved = to_open if gains else -from_open
-        open_ends = ((1.0 - p) * a <= q * b) if gains else (p * a <= (1.0 - q) * b)
-        p, q = p + moved / a, q - moved / b
-        if open_ends:       # the open one is settled, the new one stays open
-            out[open_at] = int(gains)
-            other_ends = q <= 0.0 or q >= 1.0
-            open_at, p, a = (j, q, b)
-        else:
-            out[j] = int(not gains)
-            other_ends = p <= 0.0 or p >= 1.0
-        if other_ends:
-            out[open_at], open_at = int(p >= 1.0), -1
-    fractions[open_at] = p if open_at >= 0 else fractions[open_at]
-    return out, open_at
+        out[held], out[j], first, second = transfer(masses[held], out[held], masses[j], out[j], draw)
+        held = -1 if first and second else j if first else held
+    return out
 
 
 def _rounding(seed: int, level: int):
@@ -99,14 +117,17 @@ def _rounding(seed: int, level: int):
         first = pdf.iloc[0]
         name = f"{seed}|{level}|{first['bucket']}|{first['source']}"
         draws = np.random.default_rng(xxhash.xxh3_64_intdigest(name)).random(len(pdf))
-        fractions = pdf["fraction"].to_numpy(float).copy()
-        extra, _ = pivot(pdf["size"].to_numpy(float) * pdf["rows"].to_numpy(float), fractions, draws)
+        masses, fractions = pdf["size"].to_numpy(float) * pdf["rows"].to_numpy(float), pdf["fraction"].to_numpy(float)
+        fractions = (pair_rounding(masses, fractions, draws) if level
+                     else pool_rounding(masses, float(fractions[0]), draws))
+        extra = np.where(np.isin(fractions, (0.0, 1.0)), fractions, -1.0).astype(np.int32)
         return pdf.assign(extra=extra, fraction=fractions)
     return run
 
 
 def round_together(units: DataFrame, widest: int, seed: int) -> list[DataFrame]:
-    """Settled units of each level of the reduction tree; ``units`` has the columns of STATE but extra."""
+    """Settled units of each level of the reduction tree; ``units`` has the columns of STATE but extra, and one
+    fraction a source."""
     settled, level = [], 0
     rows = units.withColumn("extra", F.lit(-1))
     while True:
