@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, shared_dir
 from ..sources.tables import read_table
-from . import mixing, packing, quality_rules, token_counts, url_filters
+from . import (mixing, packing, quality_classifier, quality_rules, token_counts, url_filters, vector_search)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,13 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_quality_classifier")
+def _quality_classifier(spark, folder):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return (quality_classifier.score(docs, read_table(spark, folder, "labels"))
+            .select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "verdict.*"))
+
+
 @query("op2_packing")
 def _packing(spark, folder):
     pieces = packing.pack(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -33,6 +40,12 @@ def _packing(spark, folder):
                          "offset")
 
 
+@query("op3_vector_search")
+def _vector_search(spark, folder):
+    vectors = read_table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return vector_search.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
