@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, shared_dir
 from ..sources.tables import read_table
-from . import (mixing, packing, quality_classifier, quality_rules, token_counts, url_filters, vector_search)
+from . import (labels, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters,
+               vector_search)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +47,16 @@ def _vector_search(spark, folder):
     return vector_search.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+@query("op4_toxicity")
+def _toxicity(spark, folder):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(docs, read_table(spark, folder, "labels"))
+    held = labels.remainder("doc_id", toxicity.MODULUS) == toxicity.HELD_OUT
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", held.alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
