@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, shared_dir
 from ..sources.tables import read_table
-from . import (jaccard_join, labels, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters,
+from . import (class_model, jaccard_join, labels, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters,
                vector_search)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,13 @@ def _toxicity(spark, folder):
         (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op5_class_model")
+def _class_model(spark, folder):
+    held = labels.remainder("doc_id", 5) == 1
+    scores = class_model.score(read_table(spark, folder, "documents"), ~held)
+    return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op6_jaccard_join")
 def _jaccard_join(spark, folder):
     return jaccard_join.near_copies(read_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
