@@ -3,13 +3,36 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from needmatch.llm import mixing, packing
+from needmatch.llm import jaccard_join, mixing, packing, quality_classifier, toxicity
 from needmatch.session import materialize
 from needmatch.sources.tables import read_table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    judged = quality_classifier.score(docs, read_table(spark, sf_dir, "labels"), out="_verdict")
+    return judged.where("_verdict.kept").select(*[F.col(c) for c in docs.columns])
+
+
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold."""
+    lexicon = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return (toxicity.score(docs, lexicon, out="_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD)
+            .select(*[F.col(c) for c in docs.columns]))
+
+
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id; of equal rows one."""
+    content = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(F.struct("doc_id", content.alias("content")).alias("row"), "text")
+    first = (jaccard_join.near_copies(rows, key="row").where(F.col("row").eqNullSafe(F.col("component_id")))
+             .select(F.col("row.doc_id").alias("_id"), F.col("row.content").alias("_content")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (content == F.col("_content"))
+    return docs.join(first, same).dropDuplicates(["_id", "_content"]).select(*[F.col(c) for c in docs.columns])
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to their target weights; a document may stand in several rows or none."""
     return mixing.mixed_rows(docs)
@@ -20,7 +43,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("mixing", mixed), ("packing", packed)]
+STAGES = [("quality classifier", good), ("toxicity", civil), ("n-gram Jaccard join", single), ("mixing", mixed),
+          ("packing", packed)]
 #: Tokenizers and fitted models can't be said in SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
