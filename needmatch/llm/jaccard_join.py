@@ -6,10 +6,14 @@ a boundary size (light) post every 2-subset of their 2-prefix, larger ones (heav
 the single shingles of their 1-prefix. The boundary is the one with the least estimated cost: subsets to enumerate
 against lists to scan.
 
-Links are needed only as far as they connect. Round one verifies each class against one hub of the lists it is on; round
-two verifies every pair on a common list whose classes are still in different components, after exact bounds on size and
-on a sketch of bucket counts. So a large group of near copies costs one pair a member, and no link is lost between
-components.
+A signature carries its room: how many shingles the set can share with another whose first common shingles are these.
+What stands before them in the order is not in the other set, so a pair on a list is a candidate there only if the
+smaller room is enough for a link; linked sets always meet on the list of their first common shingles.
+
+Links are needed only as far as they connect. Round one verifies each class against one hub of the lists it is on, the
+member with the most room, which is the one with the fewest shingles of its own; round two verifies every candidate pair
+whose classes are still in different components, after exact bounds on size, room and a sketch of bucket counts. So a
+large group of near copies costs about one pair a member, and no link is lost between components.
 
 Order of shingles: only counts of shingles that a block of texts holds twice are added up, and those above the larger of
 MIN_HEAVY and 2**-20 of all shingles count as frequent; that table has 2**20 rows at most and is broadcast. Any order
@@ -88,20 +92,23 @@ class ShingleSets:
         counts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
         return np.minimum(counts, 65535).astype("<u2").tobytes()
 
-    def signatures(self, i: int, boundary: int, percent: int) -> np.ndarray:
+    def signatures(self, i: int, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of a set and the room of each."""
         own, n = self.values[self.starts[i]:self.starts[i + 1]], int(self.sizes[i])
         least = -(-percent * n // 100)
         if least == n and n * 100 // percent <= n:      # no set of another size, or other content, can link
-            return np.zeros(0, np.uint64)
-        parts = []
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        parts, rooms = [], []
         if 100 * n > percent * boundary:
             parts.append(mixed(own[:n - least + 1]))
+            rooms.append(n - np.arange(len(parts[-1])))
         if n <= boundary:
             prefix = own[:n - least + 2]
             first, second = np.triu_indices(len(prefix), 1)
             with np.errstate(over="ignore"):
                 parts.append(mixed(prefix[first] * np.uint64(0x9E3779B97F4A7C15) + mixed(prefix[second])))
-        return np.unique(np.concatenate(parts))
+            rooms.append(n - second + 1)
+        return np.concatenate(parts), np.concatenate(rooms)
 
 
 def prefix_length(n: int, k: int, percent: int) -> int:
@@ -160,7 +167,7 @@ def frequent_shingles(docs: DataFrame, key: str, text: str, width: int, total: i
 
 
 def signed_sets(docs: DataFrame, key: str, text: str, width: int, boundary: int, percent: int, frequent) -> DataFrame:
-    """(class, n, sketch, signatures), one row a class."""
+    """(class, n, sketch, signatures, rooms), one row a class."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,16 +176,18 @@ def signed_sets(docs: DataFrame, key: str, text: str, width: int, boundary: int,
             classes = sets.classes()
             _, first = np.unique(classes, return_index=True)
             lists = [(i, sets.signatures(i, boundary, percent)) for i in first.tolist() if sets.sizes[i]]
-            lists = [(i, s) for i, s in lists if len(s)]
-            at = np.array([i for i, _ in lists], np.int64)
-            flat = np.concatenate([s for _, s in lists]) if lists else np.zeros(0, np.uint64)
-            ends = np.concatenate([[0], np.cumsum([len(s) for _, s in lists])]).astype(np.int32)
+            lists = [(i, *s) for i, s in lists if len(s[0])]
+            at = np.array([i for i, _, _ in lists], np.int64)
+            flat = np.concatenate([np.zeros(0, np.uint64), *[s for _, s, _ in lists]])
+            rooms = np.concatenate([np.zeros(0, np.int64), *[r for _, _, r in lists]]).astype(np.int32)
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for _, s, _ in lists])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [signed(classes[at]), pa.array(sets.sizes[at]), pa.array([sets.sketch(i) for i in at.tolist()], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends), signed(flat))], ["class", "n", "sketch", "signatures"])
+                 pa.ListArray.from_arrays(ends, signed(flat)), pa.ListArray.from_arrays(ends, pa.array(rooms))],
+                ["class", "n", "sketch", "signatures", "rooms"])
 
-    return (_texts(docs, key, text).mapInArrow(read, "class long, n long, sketch binary, signatures array<long>")
-            .dropDuplicates(["class"]))
+    schema = "class long, n long, sketch binary, signatures array<long>, rooms array<int>"
+    return _texts(docs, key, text).mapInArrow(read, schema).dropDuplicates(["class"])
 
 
 def compatible(n, m, percent: int) -> F.Column:
@@ -264,32 +273,35 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     sets = materialize(signed_sets(docs, key, text, width, boundary, percent,
                                    frequent_shingles(docs, key, text, width, total)), "signatures")
-    lists = sets.select(F.explode("signatures").alias("sig"), "class", "n")
-    # lists with one class link nothing; the hub of a list is its smallest hash, so near copies agree on few hubs
-    hubs = (lists.groupBy("sig").agg(F.min("class").alias("hub"), F.max("class").alias("last"))
-            .where("hub < last").select("sig", "hub"))
+    lists = sets.select(F.inline(F.arrays_zip(F.col("signatures").alias("sig"), F.col("rooms").alias("room"))), "class", "n")
+    # lists with one class link nothing
+    hub = F.max_by(F.struct("class", "n", "room"), F.struct(F.col("room") / F.col("n"), F.col("class")))
+    hubs = (lists.groupBy("sig").agg(hub.alias("hub"), F.min("class").alias("first"), F.max("class").alias("last"))
+            .where("first < last").select("sig", "hub"))
     posted = materialize(lists.join(hubs, "sig"), "posted")
     check = Verifier(docs, key, text, width, percent, holders, sets.select("class", "sketch"))
 
-    of_hub = sets.select(F.col("class").alias("a"), F.col("n").alias("n"))
-    starred = (posted.where("class <> hub").groupBy(F.col("class").alias("b"), F.col("hub").alias("a"))
-               .agg(F.count("*").alias("common"), F.first("n").alias("m"))
-               .join(of_hub, "a").where(compatible(F.col("n"), F.col("m"), percent))
+    starred = (posted.where(F.col("class") != F.col("hub.class"))
+               .where(compatible(F.col("n"), F.col("hub.n"), percent)
+                      & linked(F.least("room", "hub.room"), F.col("n"), F.col("hub.n"), percent))
+               .groupBy(F.col("class").alias("b"), F.col("hub.class").alias("a"))
+               .agg(F.count("*").alias("common"), F.first("hub.n").alias("n"), F.first("n").alias("m"))
                .groupBy("b").agg(F.max_by(F.struct("a", "n", "m"), F.struct("common", "a")).alias("p"))
                .select("p.a", "b", "p.n", "p.m"))
     links = materialize(check.links(materialize(check.likely(starred), "star-pairs")), "star-links")
     mapped = components(links)
 
     spot = (posted.join(mapped.withColumnRenamed("node", "class"), "class", "left")
-            .select("sig", "class", "n", F.coalesce("comp", "class").alias("comp")))
+            .select("sig", "room", "class", "n", F.coalesce("comp", "class").alias("comp")))
     split = (spot.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
              .select("sig"))
     open_lists = materialize(spot.join(split, "sig"), "open-lists")
-    left = open_lists.select("sig", F.col("class").alias("a"), "n", F.col("comp").alias("of_a"))
-    right = open_lists.select("sig", F.col("class").alias("b"), F.col("n").alias("m"), F.col("comp").alias("of_b"))
+    left = open_lists.select("sig", F.col("class").alias("a"), "n", F.col("room").alias("room_a"), F.col("comp").alias("of_a"))
+    right = open_lists.select("sig", F.col("class").alias("b"), F.col("n").alias("m"), F.col("room").alias("room_b"), F.col("comp").alias("of_b"))
     crossing = (left.join(right, "sig")
                 .where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b"))
-                       & compatible(F.col("n"), F.col("m"), percent))
+                       & compatible(F.col("n"), F.col("m"), percent)
+                       & linked(F.least("room_a", "room_b"), F.col("n"), F.col("m"), percent))
                 .select("a", "b", "n", "m").distinct())
     more = check.links(materialize(check.likely(crossing), "crossing-pairs"))
     comps = components(links.unionByName(more))
