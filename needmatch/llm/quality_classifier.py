@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from .labels import MAX_LABELLED, labelled_sample
 from .words import Words, slices, summed
 
@@ -25,6 +26,9 @@ RIDGE = 1.0
 ROUNDS = 25
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 1000.0
 CLIP = 1e-4
+#: Sites are broadcast up to this many rows (about 150 bytes each); beyond it they are joined over salted keys.
+MAX_BROADCAST_SITES = 500_000
+SALTS = 64
 FEATURES = ["log_words", "mean_length", "upper", "digits", "symbols", "shouts", "bars", "distinct", "repeats", "lines"]
 
 
@@ -112,7 +116,7 @@ def strength(n, rate, good) -> F.Column:
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
           path: str = "lang", label: str = "quality", keep_at: float = KEEP_AT, max_labelled: int = MAX_LABELLED,
-          out: str = "verdict") -> DataFrame:
+          out: str = "verdict", max_broadcast_sites: int = MAX_BROADCAST_SITES) -> DataFrame:
     """All rows and columns of ``docs`` with a struct ``out`` of evidence, host_rate, path_rate, score and kept.
 
     A column of ``docs`` that already has the name ``out`` is replaced.
@@ -130,12 +134,19 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         strength(F.col("host_n"), F.col("host_good") / F.col("host_n"), F.col("host_good")).alias("host_strength"))
     below = paths.agg(strength(F.col("n"), rate, F.col("good")).alias("path_strength"))
     totals = overall.crossJoin(below)       # one row each
-    sites = paths.join(hosts, "host").crossJoin(F.broadcast(totals))
+    sites = materialize(paths.join(hosts, "host").crossJoin(F.broadcast(totals)), "sites")
     sites = sites.select(*[F.col(c).alias(f"_{c}") for c in sites.columns])
 
     kept_columns = [c for c in docs.columns if c != out]
     scored = docs.select(F.struct(*kept_columns).alias("_row"), site[0].alias("_h"), site[1].alias("_s"), own.alias("_p"))
-    joined = scored.join(sites, (F.col("_h") == F.col("_host")) & (F.col("_s") == F.col("_path")))
+    same = (F.col("_h") == F.col("_host")) & (F.col("_s") == F.col("_path"))
+    if sites.count() <= max_broadcast_sites:
+        joined = scored.join(F.broadcast(sites), same)
+    else:       # a hot site's documents are dealt to SALTS tasks
+        content = F.xxhash64(F.col(f"_row.{key}").cast("string"), F.col(f"_row.{text}").cast("string"))
+        salted = scored.withColumn("_salt", F.pmod(content, F.lit(SALTS)).cast("int"))
+        copies = sites.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(copies, same & (F.col("_salt") == F.col("_copy")))
     p = F.col("_p")
     prior = F.col("_all_good") / F.col("_all_n")
     host_rate = ((F.col("_host_good") - p + F.col("_host_strength") * prior)

@@ -23,6 +23,8 @@ def test_quality_classifier(spark, odd, bare, labels):
     out = quality_classifier.score(odd, labels)
     assert set(out.columns) == {*odd.columns, "verdict"} and out.count() == odd.count()
     assert all(0 <= r.verdict.score <= 1 for r in out.collect())
+    joined = quality_classifier.score(odd, labels, max_broadcast_sites=0)
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, out.collect()))
     assert quality_classifier.score(bare, labels).count() == 0
     none = quality_classifier.score(odd, labels.where("false")).collect()
     assert {r.verdict.kept for r in none} == {True}
@@ -196,6 +198,28 @@ def linked_components(texts, width=4):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_linked_sets_meet_where_both_have_room():
+    import pyarrow as pa
+    rng = random.Random(2)
+    for words_of, boundary in [(150, 24), (20, 24), (30, 32)] * 20:
+        base = prose(rng.randrange(999), words_of).split()
+        texts = []
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(99)}"
+            texts.append(" ".join(copy))
+        sets = jaccard_join.ShingleSets(pa.array(texts), 4)
+        lists = [dict(zip(*(x.tolist() for x in sets.signatures(i, boundary, 85)), strict=True)) for i in range(len(texts))]
+        own = [set(sets.values[a:b].tolist()) for a, b in zip(sets.starts[:-1], sets.starts[1:], strict=True)]
+        for i in range(len(texts)):
+            for j in range(i):
+                both, either = len(own[i] & own[j]), len(own[i] | own[j])
+                if 100 * both >= 85 * either and own[i] != own[j]:
+                    need = 85 * (len(own[i]) + len(own[j]))
+                    assert any(185 * min(lists[i][s], lists[j][s]) >= need for s in lists[i].keys() & lists[j].keys())
+
+
 def test_near_copies(spark):
     rng = random.Random(11)
     texts = {}
