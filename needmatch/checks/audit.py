@@ -28,7 +28,7 @@ def a2(spark, d):
 
 @query("a3_audit_export", f"""
 SELECT event_id, timestamp, event_type FROM fx_audit WHERE timestamp >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY AND timestamp <= TIMESTAMP '{NOW}'
-ORDER BY timestamp DESC, event_id DESC LIMIT 10000""")
+ORDER BY timestamp DESC, event_id DESC""")
 def a3(spark, d):
     return au.audit_export(fx(spark, d, "fx_audit"), now(), 20).select("event_id", "timestamp", "event_type")
 

@@ -27,7 +27,6 @@ INACTIVE_AGENT_DAYS = 7
 MAX_EVENTS_PER_PROJECT = 10000
 AUDIT_RETENTION_DAYS = 90
 AUDIT_QUERY_LIMIT = 100
-AUDIT_EXPORT_LIMIT = 10000
 SNAPSHOTS_KEPT = 10
 EXPORT_VERSION = "1.0"
 

@@ -20,6 +20,12 @@ def micros(at: str | Column) -> Column:
 
 
 # --------------------------------------------------------------------------- authentication
+def _with_known(hashed: DataFrame, known: DataFrame) -> DataFrame:
+    """Left join on _hash; rows without one match nothing and stay out of the shuffle, where they'd be one hot key."""
+    matched = hashed.where(F.col("_hash").isNotNull()).join(known, "_hash", "left")
+    return matched.unionByName(hashed.where(F.col("_hash").isNull()), allowMissingColumns=True)
+
+
 def authenticate(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """key_id or the reason of failure; keys hold hashes only (key_id, key_hash)."""
     known = keys.select(F.col("key_hash").alias("_hash"), F.col("key_id"))
@@ -28,7 +34,7 @@ def authenticate(requests: DataFrame, keys: DataFrame) -> DataFrame:
     reason = (F.when(F.col("raw_key").isNull() | (F.col("raw_key") == ""), "missing_key")
               .when(~F.col("raw_key").startswith(C.API_KEY_PREFIX), "invalid_format")
               .when(F.col("key_id").isNull(), "unknown_key"))
-    return hashed.join(known, "_hash", "left").drop("_hash").withColumn("failure", reason)
+    return _with_known(hashed, known).drop("_hash").withColumn("failure", reason)
 
 
 def authenticate_sa(requests: DataFrame, accounts: DataFrame, account_keys: DataFrame, now: Column) -> DataFrame:
@@ -41,7 +47,7 @@ def authenticate_sa(requests: DataFrame, accounts: DataFrame, account_keys: Data
              .join(listed.drop("is_active").withColumn("_listed", F.lit(True)), ["account_id", "key_id"], "left"))
     hashed = requests.withColumn("_hash", F.when(
         F.col("raw_key").startswith(C.SERVICE_KEY_PREFIX), F.sha2("raw_key", 256)))
-    j = hashed.join(known, "_hash", "left")
+    j = _with_known(hashed, known)
     reason = (F.when(~F.coalesce(F.col("raw_key").startswith(C.SERVICE_KEY_PREFIX), F.lit(False)), "invalid_format")
               .when(F.col("account_id").isNull(), "unknown_key")
               .when(~F.coalesce("_active", F.lit(False)), "inactive_account")

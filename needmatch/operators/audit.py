@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import (
-    AUDIT_EXPORT_LIMIT, AUDIT_QUERY_LIMIT, AUDIT_RESULTS, AUDIT_RETENTION_DAYS, AUDIT_SEVERITIES,
+    AUDIT_QUERY_LIMIT, AUDIT_RESULTS, AUDIT_RETENTION_DAYS, AUDIT_SEVERITIES,
 )
 from .retention import days_before
 
@@ -22,17 +22,19 @@ def audit_filter(df: DataFrame, tenant: str | None = None, actor: str | None = N
     return df
 
 
-def audit_query(df: DataFrame, limit: int = AUDIT_QUERY_LIMIT, offset: int = 0, **filters) -> DataFrame:
-    """One page of the matching events, newest first."""
+def audit_query(df: DataFrame, limit: int | None = AUDIT_QUERY_LIMIT, offset: int = 0, **filters) -> DataFrame:
+    """One page of the matching events, newest first; all of them where ``limit`` is None."""
     rows = audit_filter(df, **filters).orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
-    return rows.offset(offset).limit(limit)
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)
 
 
 def audit_get(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids, "event_id", "left_semi")
 
 
-def audit_export(df: DataFrame, now: Column, days: int, limit: int = AUDIT_EXPORT_LIMIT, **filters) -> DataFrame:
+def audit_export(df: DataFrame, now: Column, days: int, limit: int | None = None, **filters) -> DataFrame:
+    """All matching events of the last days, or the newest ``limit`` of them."""
     return audit_query(df, limit=limit, start=days_before(now, days), end=now, **filters)
 
 
