@@ -160,12 +160,12 @@ FROM fx_payloads p JOIN documents o ON o.doc_id = p.doc_id WHERE p.kind = 0"""
 
 @query("s10_flatten_paths", f"""
 WITH o AS ({PAYLOAD_FIELDS})
-SELECT doc_id, 'title' AS path, source AS value, false AS truncated FROM o
-UNION ALL SELECT doc_id, 'order.id', CAST(doc_id AS VARCHAR), false FROM o
-UNION ALL SELECT doc_id, 'order.lang', lang, false FROM o
-UNION ALL SELECT doc_id, 'order.tags', '["a","b"]', false FROM o
-UNION ALL SELECT doc_id, 'items[*]', 'array', false FROM o
-UNION ALL SELECT doc_id, 'body', body, false FROM o""")
+SELECT doc_id, 'title' AS path, source AS value FROM o
+UNION ALL SELECT doc_id, 'order.id', CAST(doc_id AS VARCHAR) FROM o
+UNION ALL SELECT doc_id, 'order.lang', lang FROM o
+UNION ALL SELECT doc_id, 'order.tags', '["a","b"]' FROM o
+UNION ALL SELECT doc_id, 'items[*]', 'array' FROM o
+UNION ALL SELECT doc_id, 'body', body FROM o""")
 def s10(spark, d):
     return ing.flatten_json(fx(spark, d, "fx_payloads"), "doc_id", "payload")
 

@@ -11,8 +11,15 @@ from .registry import query
 TRIM = "trim({}, E' \\t\\n\\r')"
 
 
+DEEP_LEVELS = 16
+DEEP = ".".join(["trail", *(f"l{i}" for i in range(1, DEEP_LEVELS + 1))])
+
+
 def order_docs(spark, d):
-    """One nested document per order with its line items (a handful of rows per order)."""
+    """One nested document per order with its line items (a handful of rows per order) and a long chain of objects."""
+    deep = F.struct(F.col("o_orderkey").alias("doc"))
+    for level in range(DEEP_LEVELS, 0, -1):
+        deep = F.struct(deep.alias(f"l{level}"))
     items = (read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("qty")))).alias("l")))
     return (read_table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
@@ -20,21 +27,30 @@ def order_docs(spark, d):
                 F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"),
                          F.col("o_orderpriority").alias("priority")).alias("order"),
                 F.lit("v1").alias("note"),
-                F.transform("l", lambda x: F.struct(x["l_partkey"].alias("part"), x["qty"].alias("qty"))).alias("items")
-            )).alias("json")))
+                F.transform("l", lambda x: F.struct(x["l_partkey"].alias("part"), x["qty"].alias("qty"))).alias("items"),
+                deep.alias("trail"))).alias("json")))
 
 
-ORDER_NODES = """
+ORDER_NODES = f"""
 i AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) - 1 AS n,
         l_partkey AS part, CAST(l_quantity AS BIGINT) AS qty FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
 n AS (SELECT DISTINCT o_orderkey AS doc_id, 'order' AS path, 'object' AS node_type,
-        '{"key":' || o_orderkey || ',"priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '"}' AS content FROM orders JOIN i ON i.doc_id = o_orderkey
-      UNION ALL SELECT doc_id, 'items[' || n || ']', 'object', '{"part":' || part || ',"qty":' || qty || '}' FROM i)"""
+        '{{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}}' AS content FROM orders JOIN i ON i.doc_id = o_orderkey
+      UNION ALL SELECT DISTINCT doc_id, '{DEEP}', 'object', '{{"doc":' || doc_id || '}}' FROM i
+      UNION ALL SELECT doc_id, 'items[' || n || ']', 'object', '{{"part":' || part || ',"qty":' || qty || '}}' FROM i)"""
 
 
 @query("n1_json_nodes", f"WITH {ORDER_NODES} SELECT doc_id, path, node_type, content FROM n")
 def n1(spark, d):
-    return nd.json_nodes(order_docs(spark, d), "doc_id", "json", 2).select("doc_id", "path", "node_type", "content")
+    return nd.json_nodes(order_docs(spark, d), "doc_id", "json").select("doc_id", "path", "node_type", "content")
+
+
+@query("s10_flatten_deep", f"""
+SELECT o_orderkey AS doc_id, unnest(['order.key', 'order.status', 'order.priority', 'note', 'items[*]', '{DEEP}.doc']) AS path,
+  unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority, 'v1', 'array', CAST(o_orderkey AS VARCHAR)]) AS value
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def s10_deep(spark, d):
+    return ing.flatten_json(order_docs(spark, d), "doc_id", "json")
 
 
 TEXT_NODES = r"""
@@ -95,11 +111,12 @@ def n7(spark, d):
 
 @query("n8_node_text", f"""
 WITH {ORDER_NODES}
-SELECT doc_id, path, CASE WHEN path = 'order' THEN 'order | key: ' || json_extract_string(content, '$.key') || ' | priority: ' || json_extract_string(content, '$.priority')
-   || ' | status: ' || json_extract_string(content, '$.status')
+SELECT doc_id, path, CASE WHEN path = 'order' THEN 'order | key: ' || json_extract_string(content, '$.key') || ' | status: ' || json_extract_string(content, '$.status')
+   || ' | priority: ' || json_extract_string(content, '$.priority')
+  WHEN path = '{DEEP}' THEN '{DEEP.replace(".", " ")} | doc: ' || json_extract_string(content, '$.doc')
   ELSE 'items | part: ' || json_extract_string(content, '$.part') || ' | qty: ' || json_extract_string(content, '$.qty') END AS text FROM n""")
 def n8(spark, d):
-    nodes = nd.json_nodes(order_docs(spark, d), "doc_id", "json", 2)
+    nodes = nd.json_nodes(order_docs(spark, d), "doc_id", "json")
     return nodes.select("doc_id", "path", nd.node_text("path", "content", "node_type").alias("text"))
 
 
@@ -145,13 +162,13 @@ def n10c(spark, d):
 
 @query("n11_reassemble_json", f"""
 WITH {ORDER_NODES}
-SELECT doc_id, '{{' || string_agg('"' || path || '":' || content, ',' ORDER BY CASE WHEN path = 'order' THEN 1000000
+SELECT doc_id, '{{' || string_agg('"' || path || '":' || content, ',' ORDER BY CASE WHEN path = 'order' THEN -1 WHEN path = '{DEEP}' THEN 1000000
   ELSE CAST(regexp_extract(path, '\\d+') AS BIGINT) END) || '}}' AS json FROM n GROUP BY 1""")
 def n11(spark, d):
-    return nd.reassemble_json(nd.json_nodes(order_docs(spark, d), "doc_id", "json", 2), "doc_id")
+    return nd.reassemble_json(nd.json_nodes(order_docs(spark, d), "doc_id", "json"), "doc_id")
 
 
 @query("n11_round_trip", f"WITH {ORDER_NODES} SELECT doc_id, path, content FROM n")
 def n11b(spark, d):
-    docs = nd.reassemble_json(nd.json_nodes(order_docs(spark, d), "doc_id", "json", 2), "doc_id")
+    docs = nd.reassemble_json(nd.json_nodes(order_docs(spark, d), "doc_id", "json"), "doc_id")
     return nd.explode_json(docs, "doc_id")

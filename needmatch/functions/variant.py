@@ -5,8 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_DEPTH = 6
-
 
 def is_object(v: Column) -> Column:
     """Shallow test: nothing below the first level is looked at."""

@@ -9,10 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
+from ..functions import json_walk
 from ..functions.text import blank_to_null, col, found, matches, matches_any, staged, strip
-from ..functions.variant import (
-    MAX_DEPTH, as_text, explode_level, is_array, is_empty, is_object, is_object_array,
-)
+from ..functions.variant import explode_level, is_array, is_empty, is_object, is_object_array
 from .eventlog import append_events
 
 DELIMITERS = [",", "\t", ";", "|"]
@@ -282,24 +281,9 @@ def is_structured(fmt: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- paths of JSON objects
-def flatten_json(df: DataFrame, doc_id: str, json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(doc, path, value, truncated): dotted leaf paths; an array of objects is one leaf
-    ``path[*]`` = 'array'; containers below ``max_depth`` come back as text with truncated = true."""
-    cur = df.select(doc_id, F.try_parse_json(json).alias("_v"), F.lit(None).cast("string").alias("path"))
-    for _ in range(max_depth):
-        opened = F.when(is_object(F.col("_v")) & (~is_empty(F.col("_v")) | F.col("path").isNull()), F.col("_v"))
-        step = explode_level(cur, opened)
-        child = F.col("_open").isNotNull() & F.col("_pos").isNotNull()
-        cur = step.select(
-            doc_id,
-            F.when(child, F.col("_value")).when(F.col("_open").isNull(), F.col("_v")).alias("_v"),
-            F.when(child, F.concat_ws(".", "path", "_key")).otherwise(F.col("path")).alias("path"))
-    objects = is_object_array(F.col("_v"))
-    return (cur.filter(F.col("path").isNotNull())
-            .select(doc_id,
-                    F.when(objects, F.concat("path", F.lit("[*]"))).otherwise(F.col("path")).alias("path"),
-                    F.when(objects, F.lit("array")).otherwise(as_text(F.col("_v"))).alias("value"),
-                    (is_object(F.col("_v")) & ~is_empty(F.col("_v"))).alias("truncated")))
+def flatten_json(df: DataFrame, doc_id: str, json: str) -> DataFrame:
+    """(doc, path, value): dotted leaf paths, to any depth; an array of objects is one leaf ``path[*]`` = 'array'."""
+    return json_walk.walk(df, doc_id, json, json_walk.leaf_rows, "path string, value string")
 
 
 def field_paths(df: DataFrame, doc_id: str, json: str, max_depth: int = C.MAX_FIELD_DEPTH,

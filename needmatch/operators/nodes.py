@@ -1,7 +1,7 @@
 """Splitting documents into addressable nodes and putting them together again.
 
 A node row is (doc_id, ord, path, content, node_type, ...); all splits run inside the row of the
-document, JSON walks are chains of generators.
+document; JSON documents are walked whole, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -9,43 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as C
+from ..functions import json_walk
 from ..functions.text import clip, col, staged, strip, unix
-from ..functions.variant import MAX_DEPTH, explode_level, is_array, is_object, is_object_array
 from .ingest import csv_tables
 
 MARK = "\x01"
 
 
-def json_nodes(df: DataFrame, doc_id: str, json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Leaf objects, primitives of arrays and what lies below ``max_depth`` (truncated = true).
-
-    An object with a nested object or an array of objects is opened: nested objects and array
-    items are walked, its other fields are dropped."""
-    v = F.col("_v")
-    complex_child = lambda x: is_object(x) | is_object_array(x)
-    cur = df.select(doc_id, F.try_parse_json(json).alias("_v"), F.lit("").alias("path"),
-                    F.array().cast("array<int>").alias("ord"), F.lit(False).alias("_done")
-                    ).filter(F.col("_v").isNotNull())
-    for _ in range(2 * max_depth):
-        inner = F.exists(F.map_values(v.try_cast("map<string,variant>")), complex_child)
-        opened = F.when(~F.col("_done") & (is_array(v) | (is_object(v) & F.coalesce(inner, F.lit(False)))), v)
-        step = explode_level(cur, opened)
-        child = F.col("_open").isNotNull() & F.col("_pos").isNotNull()
-        keep = ~child | F.col("_key").isNull() | complex_child(F.col("_value"))
-        empty = F.col("_open").isNotNull() & F.col("_pos").isNull()        # an empty array has no nodes
-        by_key = F.when(F.col("path") == "", F.col("_key")).otherwise(F.concat_ws(".", "path", "_key"))
-        by_pos = F.concat("path", F.lit("["), F.col("_pos").cast("string"), F.lit("]"))
-        cur = step.filter(keep & ~empty).select(
-            doc_id, F.when(child, F.col("_value")).otherwise(v).alias("_v"),
-            F.when(child & F.col("_key").isNotNull(), by_key).when(child, by_pos).otherwise(F.col("path")).alias("path"),
-            F.when(child, F.concat("ord", F.array("_pos"))).otherwise(F.col("ord")).alias("ord"),
-            (F.col("_done") | F.col("_open").isNull()).alias("_done"))
-    obj = is_object(v)
-    return cur.select(
-        doc_id, "ord",
-        F.when(F.col("path") != "", F.col("path")).when(obj, "root").otherwise("value").alias("path"),
-        F.to_json(v).alias("content"), F.when(obj, "object").otherwise("primitive").alias("node_type"),
-        (~F.col("_done")).alias("truncated"))
+def json_nodes(df: DataFrame, doc_id: str, json: str) -> DataFrame:
+    """Leaf objects and primitives of arrays with their keys in document order, to any depth."""
+    return json_walk.walk(df, doc_id, json, json_walk.node_rows, "ord array<int>, path string, content string, node_type string")
 
 
 def text_nodes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -204,13 +177,12 @@ def reassemble_csv(nodes: DataFrame, doc_id: str) -> DataFrame:
 
 def reassemble_json(nodes: DataFrame, doc_id: str) -> DataFrame:
     """One JSON object per document, keyed by node path in node order."""
+    name = lambda p: F.regexp_extract(F.to_json(F.array(p)), r"(?s)^\[(.*)\]$", 1)       # quoted and escaped
     return (nodes.groupBy(doc_id).agg(_in_order(F.col("ord"), F.col("path"), F.col("content")).alias("_n"))
             .select(doc_id, F.concat(F.lit("{"), F.array_join(F.transform("_n", lambda n: F.concat(
-                F.lit('"'), n["path"], F.lit('":'), n["content"])), ","), F.lit("}")).alias("json")))
+                name(n["path"]), F.lit(":"), n["content"])), ","), F.lit("}")).alias("json")))
 
 
 def explode_json(docs: DataFrame, doc_id: str) -> DataFrame:
     """(doc, path, content) of documents built by reassemble_json."""
-    return docs.sparkSession.sql(
-        f"SELECT d.`{doc_id}`, t.key AS path, to_json(t.value) AS content "
-        "FROM {src} d, LATERAL variant_explode(parse_json(d.json)) t", src=docs)
+    return json_walk.walk(docs, doc_id, "json", json_walk.field_rows, "path string, content string")

@@ -79,10 +79,19 @@ def test_flatten_object_array(spark):
     assert got == {"items[*]": "array", "a.b.c": "x", "e": "{}", "n": None}
 
 
-def test_flatten_reports_what_is_too_deep(spark):
-    df = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":1}}}}')], "d bigint, j string")
-    rows = ing.flatten_json(df, "d", "j", max_depth=2).collect()
-    assert [(r["path"], r["truncated"]) for r in rows] == [("a.b", True)]
+def test_deep_documents_are_walked_whole(spark):
+    deep = '{"a":' * 40 + '{"x":1}' + "}" * 40
+    df = spark.createDataFrame([(1, deep), (2, None), (3, "{"), (4, ""), (5, "NaN"), (6, "1e999")], "d bigint, j string")
+    assert [(r["path"], r["value"]) for r in ing.flatten_json(df, "d", "j").collect()] == [(".".join("a" * 40 + "x"), "1")]
+    assert [(r["path"], r["content"]) for r in nd.json_nodes(df, "d", "j").collect()] == [(".".join("a" * 40), '{"x":1}')]
+
+
+def test_document_order_repeated_keys_and_escaped_paths(spark):
+    df = spark.createDataFrame([(1, '{"z\\"]":{"b":1,"a":2,"b":3},"c":{"s":"\\ud800é"}}')], "d bigint, j string")
+    nodes = nd.json_nodes(df, "d", "j")
+    assert [(r["path"], r["content"]) for r in nodes.collect()] == [('z"]', '{"b":3,"a":2}'), ("c", '{"s":"?é"}')]
+    back = nd.explode_json(nd.reassemble_json(nodes, "d"), "d").collect()
+    assert [(r["path"], r["content"]) for r in back] == [('z"]', '{"b":3,"a":2}'), ("c", '{"s":"?é"}')]
 
 
 def test_json_nodes_cases(spark):
@@ -91,12 +100,12 @@ def test_json_nodes_cases(spark):
     df = spark.createDataFrame(list(docs.items()), "d bigint, j string")
     got = {}
     for r in nd.json_nodes(df, "d", "j").collect():
-        got.setdefault(r["d"], {})[r["path"]] = (r["node_type"], r["content"], r["truncated"])
-    assert got[1] == {"root": ("object", '{"a":1,"b":[1,2]}', False)}
-    assert got[2] == {"t.people[0]": ("object", '{"n":"x"}', False), "t.people[1]": ("object", '{"n":"y"}', False)}
-    assert got[3] == {"[0]": ("primitive", "1", False), "[1]": ("object", '{"k":2}', False)}
-    assert got[4] == {"value": ("primitive", "5", False)}
-    assert got[5] == {"a": ("object", "{}", False)}
+        got.setdefault(r["d"], {})[r["path"]] = (r["node_type"], r["content"])
+    assert got[1] == {"root": ("object", '{"a":1,"b":[1,2]}')}
+    assert got[2] == {"t.people[0]": ("object", '{"n":"x"}'), "t.people[1]": ("object", '{"n":"y"}')}
+    assert got[3] == {"[0]": ("primitive", "1"), "[1]": ("object", '{"k":2}')}
+    assert got[4] == {"value": ("primitive", "5")}
+    assert got[5] == {"a": ("object", "{}")}
 
 
 def test_text_nodes_split_sentences_or_paragraphs(spark):
