@@ -34,7 +34,8 @@ SELECT concat('agent_', c_custkey) AS agent_id, concat('proj_', c_custkey % 20)
        concat('tenant_', (c_custkey % 20) % 5) AS tenant_id, c_custkey * 7 % 9000 AS last_sequence,
        CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE DATE '2024-01-31' - CAST(c_custkey % 14 AS INT) END AS last_seen,
        CASE WHEN c_custkey % 3 = 0 THEN 'webhook' ELSE 'redis' END AS notification_method,
-       CASE WHEN c_custkey % 6 = 0 THEN concat('https://hooks.example.com/', c_custkey) END AS webhook_url
+       CASE WHEN c_custkey % 6 = 0 THEN concat('https://hooks.example.com/', c_custkey) END AS webhook_url,
+       CASE WHEN c_custkey % 4 = 1 THEN concat('team_', c_custkey % 9) END AS notification_channel
 FROM customer""",
     # keys tracked by each agent (three of the 15)
     "fx_agent_keys": " UNION ALL ".join(f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from needmatch import constants as C
 from needmatch.operators import (
     access as ac, context as cx, eventlog as ev, ingest as ing, metrics as mt, nodes as nd, retention as rt,
-    search as se, tenancy as tn, webhooks as wh,
+    search as se, subscribe as sub, tenancy as tn, webhooks as wh,
 )
 from needmatch.sources.tables import read_table
 
@@ -234,3 +234,13 @@ def test_ann_with_all_cells_is_exact(spark):
     exact = se.vector_topk(q, e, ["g"], "q", "vec_id", 5, -1.0).select("q", "vec_id", "rank")
     near = se.vector_topk_ann(q, e, ["g"], "q", "vec_id", 5, cells=6, probes=6).select("q", "vec_id", "rank")
     assert near.exceptAll(exact).count() == 0 and near.count() == exact.count()
+
+
+def test_notifications_use_own_channels_and_skip_rejected_agents(spark):
+    agents = spark.createDataFrame([("a", "redis", None, "team"), ("b", "redis", None, ""), ("c", "webhook", None, "x"),
+                                    ("d", "webhook", "http://h", "x")],
+                                   "agent_id string, notification_method string, webhook_url string, notification_channel string")
+    keys = agents.selectExpr("'p' AS project_id", "'k' AS data_key", "agent_id")
+    changes = spark.sql("SELECT 'p' AS project_id, 'k' AS data_key, 1L AS sequence, '{}' AS data")
+    got = {r["agent_id"]: r["target"] for r in sub.notifications(changes, keys, agents).collect()}
+    assert got == {"a": "team", "b": "agent:b:updates", "d": "http://h"}
