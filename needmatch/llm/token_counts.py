@@ -24,6 +24,7 @@ from .pretokens import Encoder
 from .words import SPACE, slices
 
 LIMIT = 2048
+HOT_PARTS = 1000
 CACHE = "digest binary, n_tokens long"
 DROPS_SPACE = {"word_bpe_49k.json"}
 
@@ -78,8 +79,12 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, key: str = "d
                       "token-misses")
     new.write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE).parquet(cache_path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return (keyed.join(counts, "digest")
-            .select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
+    # at most HOT_PARTS digests hold more than one part in HOT_PARTS of the rows; their copies meet them by broadcast
+    least = keyed.count() / HOT_PARTS
+    copied = keyed.groupBy("digest").agg(F.count("*").alias("copies")).where(F.col("copies") > least).select("digest")
+    hot = F.broadcast(counts.join(F.broadcast(copied), "digest"))
+    counted = keyed.join(hot, "digest").unionByName(keyed.join(hot.select("digest"), "digest", "left_anti").join(counts, "digest"))
+    return counted.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def fresh_cache(folder: str) -> str:
