@@ -9,6 +9,10 @@ from needmatch.llm import jaccard_join, mixing, packing, quality_classifier, tox
 from needmatch.session import materialize
 from needmatch.sources.tables import read_table
 
+#: Near copies of the pipeline share at least this part of their shingles of this many words; op6 has a measure of its own.
+WIDTH = 5
+PERCENT = 80
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
@@ -27,7 +31,8 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; of equal rows one."""
     content = F.xxhash64(F.col("text").cast("string"))
     rows = docs.select(F.struct("doc_id", content.alias("content")).alias("row"), "text")
-    first = (jaccard_join.near_copies(rows, key="row").where(F.col("row").eqNullSafe(F.col("component_id")))
+    first = (jaccard_join.near_copies(rows, key="row", width=WIDTH, percent=PERCENT)
+             .where(F.col("row").eqNullSafe(F.col("component_id")))
              .select(F.col("row.doc_id").alias("_id"), F.col("row.content").alias("_content")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (content == F.col("_content"))
     return docs.join(first, same).dropDuplicates(["_id", "_content"]).select(*[F.col(c) for c in docs.columns])

@@ -34,6 +34,22 @@ def test_single(spark, odd):
     assert ids == [1, 2, 3, 4, 6, 8, 9, 11, 12, 13]
 
 
+def test_single_against_brute_force(spark):
+    texts = {}
+    for n, edits in [(1000, 21), (1000, 22), (1000, 23), (500, 11), (500, 12), (120, 2), (120, 3)]:
+        base = [f"w{n}x{edits}x{i}" for i in range(n)]
+        copy = list(base)
+        for k in range(edits):
+            copy[(k + 1) * n // (edits + 1)] = f"new{k}"
+        texts |= {len(texts): base, len(texts) + 1: copy}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    near = {i for i in texts if i % 2 and 100 * len(sets[i] & sets[i - 1]) >= 80 * len(sets[i] | sets[i - 1])}
+    assert near == {1, 3, 7, 11}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.single(spark, docs, FOLDER).collect()}
+    assert got == set(texts) - near
+
+
 def test_odd_and_empty_tables(spark, odd, bare, labels):
     folder = fresh_path(spark, "tables")
     labels.write.parquet(f"{folder}/labels.parquet")
