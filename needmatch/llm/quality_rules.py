@@ -1,9 +1,10 @@
 """Quality rules with cross-document line frequencies.
 
 Method: every line is normalised (lower case, single spaces) and hashed. For each host the number of distinct documents
-that hold a line is counted; exact copies of a document count once. Lines held by more than ``max_share`` of a host's
-documents, and by ``min_docs`` at least, are taken out, and a document that keeps too few of its words is rejected. Documents that fail the
-rules on their own text (too short, too repetitive) are rejected as well.
+that hold a line is counted; exact copies of a document count once. Lines held by ``min_docs`` documents, whatever the
+host's size, are taken out, and so are those held by more than ``max_share`` of the host's documents and by FEWEST of
+them at least. A document that keeps too few of its words is rejected. Documents that fail the rules on their own text
+(too short, too repetitive) are rejected as well.
 
 Defined results: a null text is empty, so it fails; a null host is a host of its own; a line without words counts
 nowhere; repeated rows get the same verdict each; an empty table gives no rows; other columns are ignored.
@@ -28,6 +29,8 @@ MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 MIN_DOCS = 50
 MAX_SHARE = 0.05
+#: Fewer documents than this have no line in common that says anything of their host.
+FEWEST = 3
 MIN_LEFT_SHARE = 0.2
 
 FACT_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "lines"]
@@ -102,11 +105,13 @@ def facts(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
 
 
 def common_lines(contents: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """(host, line) of the lines above the limits; ``contents`` has one row for each distinct text of a host."""
+    """(host, line) of the lines above either limit; ``contents`` has one row for each distinct text of a host."""
     sizes = contents.groupBy("host").agg(F.count("*").alias("docs"))
+    holders = F.col("holders")
     counts = (contents.select("host", F.explode(F.array_distinct("lines.line")).alias("line"))
-              .groupBy("host", "line").agg(F.count("*").alias("holders")).where(F.col("holders") >= min_docs))
-    return counts.join(sizes, "host").where(F.col("holders") > max_share * F.col("docs")).select("host", "line")
+              .groupBy("host", "line").agg(F.count("*").alias("holders")).where(holders >= min(FEWEST, min_docs)))
+    return (counts.join(sizes, "host").where((holders >= min_docs) | (holders > max_share * F.col("docs")))
+            .select("host", "line"))
 
 
 def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",

@@ -116,6 +116,17 @@ def test_common_lines_count_distinct_documents(spark):
     assert all(kept[i] == (True, 0) for i in [*range(100, 130), *range(200, 230)])
 
 
+def test_common_lines_on_small_and_hot_hosts(spark):
+    note = "please read all of these terms with care before you go on to use this site"
+    rows = [(i, f"{note}\n{prose(i, 30)}", "small") for i in range(8)]          # all documents of a small host
+    rows += [(100 + i, (f"{note}\n" if i < 60 else "") + prose(100 + i, 30), "hot") for i in range(2000)]      # 3 % of a large one
+    rows += [(3000 + i, f"{note}\n{prose(3000 + i, 30)}", "two") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    removed = {r.doc_id: r.removed_words for r in quality_rules.judge_quality(docs).collect()}
+    assert {i for i, n in removed.items() if n == 16} == {*range(8), *range(100, 160)}
+    assert set(removed.values()) == {0, 16}
+
+
 def filled(sizes, weights=(5, 2, 1), most=3):
     """Targets by plain repetition of the rule."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
