@@ -59,7 +59,7 @@ def bare(word: str) -> str:
 
 
 def edits_allowed(entry: Entry) -> int:
-    return 0 if entry.stem or len(entry.text) < 5 else 1 if len(entry.text) < 9 else 2
+    return 0 if len(entry.text) < 4 else 1 if entry.stem or len(entry.text) < 9 else 2
 
 
 class LexiconAutomaton:
@@ -89,7 +89,7 @@ class LexiconAutomaton:
         self.numbers: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.ends: list[tuple[int, int] | None] = []
-        self.hits: list[int] = []
+        self.hits: list[tuple[int, int] | None] = []
         self.dead = self._number({})
         self.start = self._number(self._skipping({0: 0}))
 
@@ -112,7 +112,8 @@ class LexiconAutomaton:
             self.moves.append({})
             found = [(e, self.entry[n]) for n, e in state.items() if self.entry[n] >= 0 and e <= self.limit[self.entry[n]]]
             self.ends.append(min(found) if found else None)
-            self.hits.append(max((self.stem[n] for n, e in state.items() if self.stem[n] >= 0 and e == 0), default=-1))
+            begun = [(e, self.stem[n]) for n, e in state.items() if self.stem[n] >= 0 and e <= self.limit[self.stem[n]]]
+            self.hits.append(min(begun) if begun else None)
         return self.numbers[key]
 
     def _move(self, state: int, char: str) -> int:
@@ -126,20 +127,22 @@ class LexiconAutomaton:
             reach(node, edits + 1)      # a character too many
             for label, below in self.children[node].items():
                 reach(below, edits + (label != char))
-        # nodes kept for a stem alone carry no edits
         self.moves[state][char] = out = self._number(self._skipping(new))
         return out
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(edits, entry) of the nearest entry; a stem counts where the word begins with it."""
-        state, stem, moves = self.start, -1, self.moves
+        """(edits, entry) of the nearest entry; a stem counts where the word begins with it. Of equally near ones a whole
+        word comes first."""
+        state, stem, moves = self.start, None, self.moves
         for char in word:
             state = moves[state].get(char, -1) if char in moves[state] else self._move(state, char)
             if state == self.dead:
-                return (0, stem) if stem >= 0 else None
-            stem = max(stem, self.hits[state])
+                return stem
+            hit = self.hits[state]
+            if hit and (stem is None or hit[0] < stem[0]):
+                stem = hit
         end = self.ends[state]
-        return end if end and (end[0] == 0 or stem < 0) else (0, stem) if stem >= 0 else None
+        return end if end and (stem is None or end[0] <= stem[0]) else stem
 
 
 class Lexicon:
@@ -214,7 +217,8 @@ def choose_entries(terms: list[Entry], clean: list[int], held: list[list[int]],
 
     ``held`` lists the terms of each toxic document, ``clean`` counts the other documents of each term. Documents with
     one long list are copies and count once. A term that explains fewer than MIN_GAIN more documents isn't taken:
-    copies of one text share many terms that mean nothing.
+    copies of one text share many terms that mean nothing. Whole words below a chosen stem follow as entries of their
+    own, so that misspelled inflected forms are found.
     """
     lists = [sorted(set(h)) for h in held]
     docs = [h for h in lists if len(h) <= LONG_LIST] + [list(h) for h in {tuple(h) for h in lists if len(h) > LONG_LIST}]
@@ -242,7 +246,10 @@ def choose_entries(terms: list[Entry], clean: list[int], held: list[list[int]],
         chosen.append(terms[t])
         for d in holders[t]:
             need[d] -= 1
-    return chosen
+    stems = {c.text for c in chosen if c.stem}
+    taken = set(chosen)
+    forms = [t for t in terms if not t.stem and any(t.text[:n] in stems for n in STEMS) and t not in taken]
+    return chosen + forms[:max_entries - len(chosen)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",

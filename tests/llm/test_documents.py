@@ -85,6 +85,37 @@ def test_automaton_against_edit_distance():
         assert (automaton.match(word) or (None,))[0] == (min(near)[0] if near else None), word
 
 
+def test_misspelled_inflected_terms(spark):
+    import pyarrow as pa
+    rng, docs, truth = random.Random(4), [], []
+    for i in range(600):
+        text = prose(i, 40).split()
+        if i % 6 == 0:
+            text[10] = rng.choice(["idiot", "idiots", "idiotic", "scum"])
+        docs.append((i, " ".join(text)))
+        truth.append((i, int(i % 6 == 0)))
+    lexicon = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"),
+                           spark.createDataFrame(truth, "doc_id long, toxic int"))
+    assert any(e.stem and "idiot".startswith(e.text) for e in lexicon.entries)
+    assert {"idiot", "idiots", "idiotic"} <= {e.text for e in lexicon.entries if not e.stem}
+    clean = [prose(1000 + i, 40) for i in range(50)]
+    scores = lexicon.scores(pa.array([f"you {w} there" for w in ("1diot", "diot", "1diots", "idiotis", "idiotlc", "scvm", "people")] + clean))
+    assert all(s > scores[6] for s in scores[:6])
+    assert all(s < toxicity.THRESHOLD for s in scores[6:])
+
+
+def test_stems_against_edit_distance():
+    rng = random.Random(6)
+    entries = [toxicity.Entry("abca", True), toxicity.Entry("bbacb", True), toxicity.Entry("abcab", False)]
+    automaton = toxicity.LexiconAutomaton(entries)
+    for _ in range(4000):
+        word = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
+        near = [min(edit_distance(word[:n], e.text) for n in range(len(word) + 1)) if e.stem else edit_distance(word, e.text)
+                for e in entries]
+        near = [d for d, e in zip(near, entries, strict=True) if d <= toxicity.edits_allowed(e)]
+        assert (automaton.match(word) or (None,))[0] == (min(near) if near else None), word
+
+
 def test_quality_rules(odd, bare):
     got = quality_rules.judge_quality(odd).collect()
     assert len(got) == odd.count()
