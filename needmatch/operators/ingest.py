@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as C
 from ..functions import json_walk
@@ -117,12 +119,45 @@ def _infer(values: Column) -> Column:
             .otherwise("string"))
 
 
+@lru_cache
+def _field(delimiter: str) -> re.Pattern:
+    """A quoted or bare field and what ends it; a quote that is never closed is a plain character."""
+    d = re.escape(delimiter)
+    return re.compile(rf'(?:"((?:[^"]|"")*+)"([^{d}\n]*+)|([^{d}\n]*+))({d}|\n|\Z)')
+
+
+def split_csv(text: str, delimiter: str) -> list[list[str]]:
+    """Fields of each record; quoted ones may hold delimiters, line breaks and doubled quotes. Blank lines are no records."""
+    rows, row, at, match = [], [], 0, _field(delimiter).match
+    while True:
+        found = match(text, at)
+        quoted, rest, plain, end = found.groups()
+        value = plain if quoted is None else quoted.replace('""', '"') + rest
+        if end == "\n" and (plain or rest or "").endswith("\r"):
+            value = value[:-1]
+        row.append(value)
+        at = found.end()
+        if end == delimiter:
+            continue
+        if len(row) > 1 or quoted is not None or value.strip(" "):
+            rows.append(row)
+        row = []
+        if not end:
+            return rows
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def csv_rows(texts: pa.Array, delimiters: pa.Array) -> pa.Array:
+    rows = [None if t is None else split_csv(t, d) for t, d in zip(texts.to_pylist(), delimiters.to_pylist(), strict=True)]
+    return pa.array(rows, pa.list_(pa.list_(pa.string())))
+
+
 def csv_tables(df: DataFrame, text: str) -> DataFrame:
     """Add header, rows (ragged ones dropped) and types of the CSV/TSV text of each row; all inside
     the row, no shuffle."""
-    split = staged(staged(df, _d=F.coalesce(csv_delimiter(text), F.lit(",")), _lines=_lines(F.col(text))),
-                   _rows=F.transform("_lines", lambda l: F.transform(
-                       F.split(l, F.concat(F.lit("\\Q"), F.col("_d"), F.lit("\\E"))), lambda x: F.trim(x))))
+    raw = staged(staged(df, _d=F.coalesce(csv_delimiter(text), F.lit(","))),
+                 _raw=csv_rows(strip(F.col(text)), F.col("_d")))
+    split = staged(raw, _rows=F.transform("_raw", lambda r: F.transform(r, lambda x: F.trim(x))))
     first = F.get("_rows", F.lit(0))
     headed = staged(split, _headed=(F.size("_rows") > 1) & ~F.exists(
         first, lambda x: x.try_cast("double").isNotNull()))
@@ -134,7 +169,7 @@ def csv_tables(df: DataFrame, text: str) -> DataFrame:
         lambda r: F.size(r) == F.col("_width")))
     shaped = staged(shaped, _sample=F.slice("rows", 1, C.CSV_SAMPLE_ROWS))
     return (staged(shaped, types=F.transform("header", lambda h, i: _infer(F.transform("_sample", lambda r: r[i]))))
-            .drop("_d", "_lines", "_rows", "_headed", "_width", "_sample"))
+            .drop("_d", "_raw", "_rows", "_headed", "_width", "_sample"))
 
 
 def csv_records(df: DataFrame, doc_id: str, text: str) -> DataFrame:

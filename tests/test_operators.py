@@ -145,6 +145,17 @@ def test_node_routes(spark):
     assert [r["d"] for r in dead.collect()] == [5]
 
 
+def test_quoted_csv(spark):
+    text = 'name,note,n\r\nann,"one, two",1\r\n\r\n"bob ""b""","first\n\nlast",2\r\ncid,5" pipe,3\ndan,too,many,4\neve,"open,5\n'
+    rows = ing.csv_records(spark.createDataFrame([(1, text), (2, None)], "d bigint, t string"), "d", "t").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["row_no"], {})[r["column"]] = r["value"]
+    assert [tuple(got[i].values()) for i in sorted(got)] == [
+        ("ann", "one, two", "1"), ('bob "b"', "first\n\nlast", "2"), ("cid", '5" pipe', "3"), ("eve", '"open', "5")]
+    assert {r["int_value"] for r in rows if r["column"] == "n"} == {1, 2, 3, 5}
+
+
 def test_csv_inference(spark):
     text = "id,score,flag,word\n1,1.5,yes,x\n2,,no,\nragged\n3,2,true,z"
     rows = ing.csv_records(spark.createDataFrame([(1, text)], "d bigint, t string"), "d", "t").collect()
