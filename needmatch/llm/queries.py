@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import prepare, shared_dir
 from ..sources.tables import read_table
 from . import (class_model, jaccard_join, labels, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters,
-               vector_search)
+               vector_codes, vector_search)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,37 @@ def _token_counts(spark, folder):
 @query("op10_quality_rules")
 def _quality_rules(spark, folder):
     return quality_rules.judge_quality(read_table(spark, folder, "documents"))
+
+
+CODES_SQL = """
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT vec_id, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM k, range(16) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < 64),
+{rounds}
+f AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+      FROM a{last} GROUP BY vec_id),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM f GROUP BY label),
+s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last})
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM f JOIN l ON f.label IS NOT DISTINCT FROM l.label, s
+"""
+ASSIGN_SQL = """
+a{n} AS (
+  SELECT vec_id, label, p, x, min(d) AS d, arg_min(e, (d, e)) AS e FROM (
+    SELECT vec_id, label, p.p, x, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d
+    FROM p JOIN b{n} b ON p.p = b.p) GROUP BY vec_id, label, p, x),"""
+MEAN_SQL = """
+m{n} AS (
+  SELECT p, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS c FROM (
+    SELECT p, e, i, sum(x[i])::DOUBLE AS total, count(*) AS n FROM a{n}, range(1, 1025) t(i) WHERE i <= len(x) GROUP BY p, e, i)
+  GROUP BY p, e),
+b{next} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m ON b.p = m.p AND b.e = m.e),"""
+
+
+@query("op13_vector_codes", oracle=CODES_SQL.format(
+    last=2, rounds="".join(ASSIGN_SQL.format(n=n) + MEAN_SQL.format(n=n, next=n + 1) for n in range(2)) + ASSIGN_SQL.format(n=2)))
+def _vector_codes(spark, folder):
+    return (vector_codes.encode(read_table(spark, folder, "embeddings"))
+            .select("vec_id", "code", "error", "label_error", "codebooks_sha256"))
