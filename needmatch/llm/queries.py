@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, shared_dir
 from ..sources.tables import read_table
-from . import (class_model, jaccard_join, labels, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters,
-               vector_codes, vector_search)
+from . import (class_model, jaccard_join, labels, mixing, packing, quality_classifier, quality_rules, simhash_dedup, token_counts, toxicity,
+               url_filters, vector_codes, vector_search)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,6 +113,11 @@ def _quality_rules(spark, folder):
     return quality_rules.judge_quality(read_table(spark, folder, "documents"))
 
 
+@query("op11_simhash_dedup")
+def _simhash_dedup(spark, folder):
+    return simhash_dedup.near_duplicates(read_table(spark, folder, "documents"))
+
+
 CODES_SQL = """
 WITH k AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
