@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, shared_dir
 from ..sources.tables import read_table
-from . import (class_model, jaccard_join, labels, mixing, packing, quality_classifier, quality_rules, simhash_dedup, token_counts, toxicity,
-               url_filters, vector_codes, vector_search)
+from . import (class_model, jaccard_join, labels, mixing, packing, prefix_trie, quality_classifier, quality_rules, simhash_dedup, token_counts,
+               toxicity, url_filters, vector_codes, vector_search)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,6 +118,42 @@ def _simhash_dedup(spark, folder):
     return simhash_dedup.near_duplicates(read_table(spark, folder, "documents"))
 
 
+@query("op12_prefix_trie", oracle=r"""
+WITH t AS (  -- table of CRC-32
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS ts,
+    list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+o AS (
+  SELECT conv_id, ts, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4 AS h FROM own, t),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(CASE WHEN h = 0 THEN [] ELSE coalesce(b.ts, [])[1:h] END, o.ts[h + 1:]) AS ts
+  FROM o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+m AS (
+  SELECT conv_id, d, CASE WHEN d = 0 THEN [] ELSE ts[1:d] END AS p, d = len(ts) AS ends
+  FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt)),
+g AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM m GROUP BY p, d),
+c AS (SELECT CASE WHEN d = 1 THEN [] ELSE p[1:d - 1] END AS p, d - 1 AS d, count(*) AS n_children FROM g WHERE d > 0 GROUP BY ALL),
+w AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN c ON c.p = g.p AND c.d = g.d),
+u AS (
+  SELECT CASE WHEN a = 0 THEN [] ELSE p[1:a] END AS p, a AS d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM w) GROUP BY ALL)
+SELECT w.conv_id, w.d AS depth, x.conv_id AS parent_conv_id, w.n AS n_convs, w.n_children, u.n_leaves,
+  CAST(u.saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN u ON u.p = w.p AND u.d = w.d
+LEFT JOIN w x ON w.d > 0 AND x.d = w.d - 1 AND x.p = CASE WHEN w.d <= 1 THEN [] ELSE w.p[1:w.d - 1] END
+""")
+def _prefix_trie(spark, folder):
+    lists = prefix_trie.turn_lists(read_table(spark, folder, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_family_heads(lists))
+
+
 CODES_SQL = """
 WITH k AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
