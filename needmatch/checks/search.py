@@ -85,10 +85,54 @@ def v5(spark, d):
     return vq(spark, d)
 
 
+@query("v5_vector_topk_pruned", f"WITH {TOPK_SQL} SELECT * FROM r WHERE rank <= 10 AND similarity >= {T}")
+def v5p(spark, d):
+    return se.vector_topk(fx(spark, d, "fx_vector_queries"), fx(spark, d, "fx_vectors"), ["project_id"],
+                          "query_id", "vec_id", 10, T, pruned=True, block_rows=100)
+
+
+# the first dimensions are stretched, so that vectors are not equally far from each other
+NEAR_SQL = "SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN i <= 3 THEN 6 * x::DOUBLE ELSE x::DOUBLE END) AS embedding FROM embeddings"
+
+
+def near_vectors(spark, d):
+    e = read_table(spark, d, "embeddings")
+    wide = F.transform("embedding", lambda x, i: F.when(i < 3, 6 * x.cast("double")).otherwise(x.cast("double")))
+    return e.select("vec_id", wide.alias("embedding"))
+
+
+@query("v5_vector_topk_all", f"""
+WITH e AS ({NEAR_SQL}),
+s AS (SELECT q.vec_id AS query_id, n.vec_id, {SIM.format('q.embedding', 'n.embedding')} AS similarity FROM e q, e n WHERE q.vec_id % 25 = 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def v5a(spark, d):
+    e = near_vectors(spark, d)
+    q = e.where("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id")
+    return se.vector_topk(q, e, [], "query_id", "vec_id", 10, -1.0, pruned=True, block_rows=100)
+
+
 @query("v6_vector_topk_ann")
 def v6(spark, d):
-    return se.vector_topk_ann(fx(spark, d, "fx_vector_queries"), fx(spark, d, "fx_vectors"), ["project_id"],
-                              "query_id", "vec_id", 10, cells=16, probes=12)
+    return se.vector_topk_ann(fx(spark, d, "fx_vector_queries"), fx(spark, d, "fx_vectors"), ["project_id"], "query_id", "vec_id", 10)
+
+
+@query("v6_ann_recall", f"""
+WITH {TOPK_SQL} SELECT project_id, count(*) AS wanted, true AS enough FROM r WHERE rank <= 10 GROUP BY project_id""")
+def v6r(spark, d):
+    """At least 95 % of the exact matches of each project are found."""
+    recall = se.ann_recall(v6(spark, d), vq(spark, d, 10, -1.0), ["project_id"], "query_id", "vec_id")
+    return recall.select("project_id", "wanted", (F.col("recalled") >= 0.95 * F.col("wanted")).alias("enough"))
+
+
+@query("v6_ann_recall_all", f"""
+SELECT 10 * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 25 = 0""")
+def v6a(spark, d):
+    """The same over one group of all vectors."""
+    e = near_vectors(spark, d)
+    q = e.where("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id")
+    found = se.vector_topk_ann(q, e, [], "query_id", "vec_id", 10)
+    recall = se.ann_recall(found, se.vector_topk(q, e, [], "query_id", "vec_id", 10, -1.0), [], "query_id", "vec_id")
+    return recall.select("wanted", (F.col("recalled") >= 0.95 * F.col("wanted")).alias("enough"))
 
 
 TOK = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"

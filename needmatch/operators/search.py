@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
-from ..plans.blocked import cosine_topk, weighted_terms_topk
+from ..plans.blocked import BLOCK_ROWS, cosine_topk, weighted_terms_topk
+from ..plans.cells import CodeIndex, build_codes, code_candidates, pruned_cosine_topk
 from ..plans.skew import top_per_key
 from ..session import materialize
 
 SCORE_DIGITS = 6
-ANN_MAX_CELLS = 1024
-ANN_TRAIN_ROWS = 100_000
+#: Cells that a query reads at least, candidates scored again for each match, and codes read for each of these.
+ANN_PROBES = 16
+ANN_RERANK = 8
+ANN_READ = 8
 
 
 def cosine_similarity(a: str | Column, b: str | Column) -> Column:
@@ -38,42 +36,72 @@ def _limits(queries: DataFrame, k: int | str, threshold: float | str) -> DataFra
 
 def vector_topk(queries: DataFrame, nodes: DataFrame, group: list[str], query_id: str, node_id: str,
                 k: int | str = C.MAX_MATCHES, threshold: float | str = C.MATCHER_THRESHOLD,
-                query_vec: str = "embedding", node_vec: str = "embedding") -> DataFrame:
+                query_vec: str = "embedding", node_vec: str = "embedding", pruned: bool | None = None,
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per query the best ``k`` nodes of its group at or above ``threshold`` (numbers or columns
-    of queries). Cutting to k first gives the same rows: the order is by similarity."""
+    of queries). Cutting to k first gives the same rows: the order is by similarity.
+
+    Nodes are placed in cells, and blocks whose bound is below the threshold or the k-th score of the nearest block are
+    not read (``pruned``; by default where a group has more than one block of nodes, since one block can't be skipped)."""
     q = _limits(queries, k, threshold)
-    best = cosine_topk(q, nodes, group, query_id, node_id, query_vec, node_vec, "k", SCORE_DIGITS,
-                       max_k=k if isinstance(k, int) else None)
+    if pruned is None:
+        largest = nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        pruned = (largest or 0) > block_rows
+    if pruned:
+        best, _ = _pruned(q, nodes, group, query_id, node_id, query_vec, node_vec, k, block_rows=block_rows)
+    else:
+        best = cosine_topk(q, nodes, group, query_id, node_id, query_vec, node_vec, "k", SCORE_DIGITS, max_k=_largest(q, k))
     return (best.join(q.select(*group, query_id, "_threshold"), [*group, query_id])
             .filter(F.col("similarity") >= F.col("_threshold")).drop("_threshold"))
 
 
+def _largest(q: DataFrame, k: int | str) -> int:
+    return k if isinstance(k, int) else int(q.agg(F.max("k")).first()[0] or 0)
+
+
+def _pruned(q, nodes, group, query_id, node_id, query_vec, node_vec, k, **options):
+    return pruned_cosine_topk(q, nodes, group, query_id, node_id, query_vec, node_vec, "k", SCORE_DIGITS, _largest(q, k), "_threshold", **options)
+
+
+def block_pruning(queries: DataFrame, nodes: DataFrame, group: list[str], query_id: str, node_id: str,
+                  k: int | str = C.MAX_MATCHES, threshold: float | str = C.MATCHER_THRESHOLD,
+                  query_vec: str = "embedding", node_vec: str = "embedding", **options) -> DataFrame:
+    """(queries, scored_pairs, all_pairs): pairs of a query and a block of its group that the exact search reads."""
+    q = _limits(queries, k, threshold)
+    _, pairs = _pruned(q, nodes, group, query_id, node_id, query_vec, node_vec, k, **options)
+    scored = pairs.agg(F.count(F.lit(1)).alias("scored_pairs"))
+    blocks = pairs.select(*group, "_cell", "_sub").distinct()
+    sizes = blocks.groupBy(*group).agg(F.count(F.lit(1)).alias("_blocks"))
+    asked = q.groupBy(*group).agg(F.count(F.lit(1)).alias("_queries"))
+    met = asked.join(sizes, group) if group else asked.crossJoin(sizes)       # one row each
+    total = met.agg(F.sum("_queries").alias("queries"), F.sum(F.col("_queries") * F.col("_blocks")).alias("all_pairs"))
+    return total.crossJoin(scored).select("queries", "scored_pairs", "all_pairs")
+
+
 def vector_topk_ann(queries: DataFrame, nodes: DataFrame, group: list[str], query_id: str, node_id: str,
-                    k: int = C.MAX_MATCHES, cells: int | None = None, probes: int = 8,
-                    query_vec: str = "embedding", node_vec: str = "embedding", seed: int = 7) -> DataFrame:
-    """Approximate neighbours: nodes are assigned to k-means cells, a query is scored exactly in
-    the ``probes`` cells nearest to it. Big cells are split into blocks like any other group."""
-    n = nodes.count()
-    cells = cells or max(1, min(ANN_MAX_CELLS, int(math.sqrt(n))))
-    vec = nodes.withColumn("_features", array_to_vector(F.col(node_vec).cast("array<double>")))
-    train = vec.select("_features").sample(min(1.0, ANN_TRAIN_ROWS / max(n, 1)), seed=seed)
-    model = KMeans(k=cells, featuresCol="_features", predictionCol="_cell", seed=seed, maxIter=10).fit(train)
-    centers = nodes.sparkSession.sparkContext.broadcast(np.array(model.clusterCenters()))   # <= ANN_MAX_CELLS rows
-    probes = min(probes, len(model.clusterCenters()))
-
-    @F.pandas_udf("array<int>")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        c = centers.value
-        m = np.stack(vectors.to_numpy()).astype(np.float64)
-        dist = (c * c).sum(axis=1)[None, :] - 2.0 * (m @ c.T)
-        return pd.Series(list(np.argsort(dist, axis=1)[:, :probes].astype(np.int32)))
-
-    placed = model.transform(vec).drop("_features")
-    asked = (queries.withColumn("k", F.lit(k)).withColumn("_cells", nearest(F.col(query_vec)))
-             .withColumn("_cell", F.explode("_cells")).drop("_cells"))
-    found = cosine_topk(asked, placed, [*group, "_cell"], query_id, node_id, query_vec, node_vec, "k",
-                        SCORE_DIGITS, max_k=k)
-    return rank_per(found.drop("rank", "_cell"), [*group, query_id], "similarity", node_id, k)
+                    k: int = C.MAX_MATCHES, cells: int | None = None, probes: int = ANN_PROBES, rerank: int | None = None,
+                    query_vec: str = "embedding", node_vec: str = "embedding", index: CodeIndex | None = None) -> DataFrame:
+    """Approximate neighbours from an index of product codes in cells (``index``, or one built here): the ``rerank``
+    nearest by their codes are scored again with their vectors. A query reads ``probes`` cells and more of them until
+    these hold ANN_READ times ``rerank`` vectors of its group, so a small group is searched whole."""
+    rerank = rerank or ANN_RERANK * k
+    index = index or build_codes(nodes, group, node_id, node_vec, cells)
+    own = [F.col(g).alias(g) for g in group]
+    q = materialize(queries.select(*own, F.col(query_id).alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qv"),
+                                   F.lit(k).alias("_k")), "ann-queries")
+    near = code_candidates(q, index, ANN_READ * rerank, probes, rerank)
+    vectors = nodes.select(*own, F.col(node_id).alias("_nid"), F.col(node_vec).alias("_nv"))
+    scored = (near.join(vectors, [*group, "_nid"]).join(q, [*group, "_qid"])
+              .select(*group, F.col("_qid").alias(query_id), F.col("_nid").alias(node_id),
+                      F.round(cosine_similarity("_qv", "_nv"), SCORE_DIGITS).alias("similarity")))
+    return rank_per(scored, [*group, query_id], "similarity", node_id, k)
+
+
+def ann_recall(found: DataFrame, exact: DataFrame, group: list[str], query_id: str, node_id: str) -> DataFrame:
+    """(group, wanted, recalled): exact matches, and how many of them the approximate search found."""
+    hit = found.select(*group, query_id, node_id, F.lit(1).alias("_hit"))
+    return (exact.join(hit, [*group, query_id, node_id], "left").groupBy(*group)
+            .agg(F.count(F.lit(1)).alias("wanted"), F.count("_hit").alias("recalled")))
 
 
 # --------------------------------------------------------------------------- lexical
