@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..session import materialize
 from .blocked import _best, _emit, _matrix, _merge, _ranks, _unit
 
-CENTRE_ROUNDS = 6
-BOOK_ROUNDS = 4
+#: Mini-batches of a fit: one for each BATCH_ROWS rows, within these limits.
+FEWEST_ROUNDS, MOST_ROUNDS = 2, 8
+BATCH_ROWS = 20_000
 MAX_CENTRE_BYTES = 256 << 20
 #: A small table has fewer cells than its square root, so that a cell is worth a task's call.
 CELL_ROWS = 128
 BLOCK_ROWS = 4096
+QUERY_ROWS = 4096
 #: Angles and rounded scores may be off by this much.
 SLACK = 4e-6
 PART = 4
@@ -80,11 +82,12 @@ def _moved(batch: DataFrame, centres: np.ndarray, weights: np.ndarray, pieces) -
         centres[at] += (np.stack(moved["total"].to_numpy()) - n[:, None] * centres[at]) / weights[at][:, None]
 
 
-def _batches(rows: DataFrame, rounds: int) -> list[DataFrame]:
+def _batches(rows: DataFrame) -> list[DataFrame]:
+    rounds = max(FEWEST_ROUNDS, min(MOST_ROUNDS, rows.count() // BATCH_ROWS))
     return [rows.where(F.pmod(F.xxhash64(F.lit(7), "_nid"), F.lit(rounds)) == r).select("_nv") for r in range(rounds)]
 
 
-def fit_cells(rows: DataFrame, cells: int | None = None, rounds: int = CENTRE_ROUNDS) -> np.ndarray:
+def fit_cells(rows: DataFrame, cells: int | None = None) -> np.ndarray:
     """Centres (cells, d) of unit vectors; rows: _nid, _nv."""
     first = rows.select("_nv").first()
     if first is None:
@@ -100,7 +103,7 @@ def fit_cells(rows: DataFrame, cells: int | None = None, rounds: int = CENTRE_RO
         m = _unit(_matrix(pa.Table.from_batches([batch]), "_nv"))
         yield 0, m, _nearest(m, now)
 
-    for batch in _batches(rows, rounds):
+    for batch in _batches(rows):
         _moved(batch, centres, weights, pieces)
     return centres
 
@@ -115,7 +118,7 @@ def _code(parts: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.stack([_nearest(parts[:, p], books[p]) for p in range(parts.shape[1])], axis=1).astype(np.uint8)
 
 
-def fit_books(rows: DataFrame, centres: np.ndarray, entries: int = ENTRIES, rounds: int = BOOK_ROUNDS) -> np.ndarray:
+def fit_books(rows: DataFrame, centres: np.ndarray, entries: int = ENTRIES) -> np.ndarray:
     """Codebooks (parts, entries, PART) of the residuals; rows: _nid, _nv."""
     begin = rows.orderBy(F.xxhash64(F.lit(1), "_nid"), "_nid").limit(entries).select("_nv").collect()
     first = _unit(np.array([r["_nv"] for r in begin], np.float64))
@@ -130,7 +133,7 @@ def fit_books(rows: DataFrame, centres: np.ndarray, entries: int = ENTRIES, roun
         for p in range(parts):
             yield p * entries, cut[:, p], codes[:, p].astype(np.int64)
 
-    for batch in _batches(rows, rounds):
+    for batch in _batches(rows):
         _moved(batch, flat, weights, pieces)
     return flat.reshape(parts, entries, PART)
 
@@ -155,10 +158,10 @@ def _in_blocks(placed: DataFrame, group: list[str], block_rows: int) -> DataFram
             .withColumn("_sub", F.pmod(F.xxhash64("_nid"), F.coalesce("_subs", F.lit(1))).cast("int")).drop("_subs"))
 
 
-def _scored(pairs: DataFrame, q: DataFrame, stored: DataFrame, group: list[str], task, block_rows: int) -> DataFrame:
+def _scored(pairs: DataFrame, q: DataFrame, stored: DataFrame, group: list[str], task) -> DataFrame:
     """``task`` over each block and those queries that ``pairs`` (group, _qid, _cell, _sub) sends to it. Blocks go only
     where a query block needs them."""
-    spread = q.select(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n")).first()["n"] or 1
+    spread = q.select(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_ROWS)).cast("int").alias("n")).first()["n"] or 1
     asked = pairs.join(q, [*group, "_qid"]).withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(spread)).cast("int"))
     where = [*group, "_cell", "_sub", "_qb"]
     needed = pairs.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(spread)).cast("int")).select(*where).distinct()
@@ -202,11 +205,11 @@ def block_table(placed: DataFrame, group: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("_rows"), F.min("_angle").alias("_low"), F.max("_angle").alias("_high"))
 
 
-def _bounds(q: DataFrame, blocks: DataFrame, group: list[str], centres: np.ndarray, floor: str, nearest: bool, block_rows: int) -> DataFrame:
+def _bounds(q: DataFrame, blocks: DataFrame, group: list[str], centres: np.ndarray, floor: str, nearest: bool) -> DataFrame:
     """(group, _qid, _cell, _sub): the block of the largest bound of each query, or all blocks with a bound of at least the
     query's ``floor``. Queries meet the pruning table of their group, not its vectors."""
     shared = q.sparkSession.sparkContext.broadcast(_unit(centres))
-    spread = q.select(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n")).first()["n"] or 1
+    spread = q.select(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_ROWS)).cast("int").alias("n")).first()["n"] or 1
     dealt = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(spread)).cast("int"))
     asking = dealt.select(*[F.col(c).alias(c) for c in [*group, "_qb"]]).distinct()
     tables = blocks.join(asking, group) if group else blocks.withColumn(
@@ -256,15 +259,15 @@ def pruned_cosine_topk(queries: DataFrame, nodes: DataFrame, group: list[str], q
         return _emit(left, np.arange(left.num_rows), right.column("_nid").combine_chunks(), left.column("_k").to_numpy(), scores, group, False)
 
     stored = placed.select(*group, "_cell", "_sub", "_nid", "_nv")
-    nearest = materialize(_bounds(q, blocks, group, centres, "_least", True, block_rows), "nearest-blocks")
-    first = materialize(_scored(nearest, q, stored, group, task, block_rows), "first-scores")
+    nearest = materialize(_bounds(q, blocks, group, centres, "_least", True), "nearest-blocks")
+    first = materialize(_scored(nearest, q, stored, group, task), "first-scores")
     by_score = Window.partitionBy(*group, "_qid").orderBy(F.col("score").desc())
     reached = (first.withColumn("_rn", F.row_number().over(by_score)).where(F.col("_rn") <= max_k).where(F.col("_rn") == F.col("_k"))
                .select(*group, "_qid", F.col("score").alias("_reached")))
     bounded = q.join(reached, [*group, "_qid"], "left").withColumn("_floor", F.greatest("_least", F.coalesce("_reached", F.lit(-2.0))))
-    others = _bounds(bounded, blocks, group, centres, "_floor", False, block_rows)
+    others = _bounds(bounded, blocks, group, centres, "_floor", False)
     others = materialize(others.join(nearest, [*group, "_qid", "_cell", "_sub"], "left_anti"), "open-blocks")
-    second = _scored(others, q, stored, group, task, block_rows)
+    second = _scored(others, q, stored, group, task)
     found = _merge(first.unionByName(second), group, query_id, node_id, "similarity", max_k)
     return found, nearest.unionByName(others)
 
@@ -357,7 +360,7 @@ def _probed(q: DataFrame, index: CodeIndex, probes: int, wanted: int) -> DataFra
     return chosen.select(*group, "_qid", "_cell", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1)).alias("_sub"))
 
 
-def code_candidates(q: DataFrame, index: CodeIndex, wanted: int, probes: int, rerank: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def code_candidates(q: DataFrame, index: CodeIndex, wanted: int, probes: int, rerank: int) -> DataFrame:
     """(group, _qid, _nid): the ``rerank`` vectors nearest to each query by their codes; q: group, _qid, _qv, _k."""
     group = index.group
     shared = q.sparkSession.sparkContext.broadcast((index.centres, index.books))
@@ -382,6 +385,6 @@ def code_candidates(q: DataFrame, index: CodeIndex, wanted: int, probes: int, re
                 .append_column("score", pa.array(np.concatenate(scores))))
 
     pairs = materialize(_probed(q, index, probes, wanted), "probes")
-    near = _scored(pairs, q, index.codes, group, task, block_rows)
+    near = _scored(pairs, q, index.codes, group, task)
     w = Window.partitionBy(*group, "_qid").orderBy(F.col("score").desc(), F.col("_nid"))
     return near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= rerank).select(*group, "_qid", "_nid")
