@@ -1,5 +1,7 @@
 """Vector, lexical and hybrid search queries."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import encoders as enc, search as se
@@ -176,6 +178,12 @@ def v8(spark, d):
     return lex(spark, d)
 
 
+@query("v8_bm25_lists", f"WITH {SCORE_SQL} SELECT * FROM lex")
+def v8l(spark, d):
+    """The same from lists that end early."""
+    return se.bm25_search(fx(spark, d, "fx_text_queries"), "query_id", "query", *index(spark, d), 10, lists=True)
+
+
 # vectors of passages and documents for hybrid search: the stored vector of the same number
 VEC_SQL = f"""
 vs AS (SELECT q.query_id, n.vec_id AS doc_id, {SIM.format('e.embedding', 'n.embedding')} AS similarity
@@ -210,14 +218,81 @@ def v10(spark, d):
     return se.hybrid_rrf(lex(spark, d), vec(spark, d), "query_id", 10)
 
 
+# the same within the project of each query, as agents ask
+PROJECT_QUERIES = "SELECT query_id, query, concat('src', query_id % 20) AS project_id FROM fx_text_queries"
+PROJECT_SQL = SCORE_SQL[:SCORE_SQL.rindex("sc AS")] + f"""
+pq AS ({PROJECT_QUERIES}),
+sc AS (SELECT fs.query_id, fs.doc_id, round(max(s), 6) AS score FROM fs JOIN pq ON pq.query_id = fs.query_id
+       JOIN fx_corpus c ON c.doc_id = fs.doc_id AND c.project_id = pq.project_id GROUP BY 1, 2),
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 20),
+vs AS (SELECT q.query_id, n.vec_id AS doc_id, {SIM.format('e.embedding', 'n.embedding')} AS similarity
+       FROM pq q JOIN embeddings e ON e.vec_id = q.query_id, embeddings n JOIN fx_corpus c ON c.doc_id = n.vec_id WHERE c.project_id = q.project_id),
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM vs) WHERE rank <= 20)"""
+
+
+def project_queries(spark, d):
+    return fx(spark, d, "fx_text_queries").withColumn("project_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+
+
+def project_lex(spark, d, k=10):
+    corpus = fx(spark, d, "fx_corpus").select("doc_id", "project_id")
+    return se.bm25_search(project_queries(spark, d), "query_id", "query", *index(spark, d), k, docs=corpus, lists=True)
+
+
+def project_vec(spark, d, k=10):
+    e = read_table(spark, d, "embeddings")
+    own = [F.col(c).alias(c) for c in ("vec_id", "embedding")]
+    q = project_queries(spark, d).join(e.select(*own), F.col("query_id") == F.col("vec_id")).select("query_id", "project_id", "embedding")
+    n = fx(spark, d, "fx_corpus").join(e.select(*own), F.col("doc_id") == F.col("vec_id")).select("doc_id", "project_id", "embedding")
+    return se.vector_topk(q, n, ["project_id"], "query_id", "doc_id", 2 * k, -1.0)
+
+
+@query("v8_bm25_project", f"WITH {PROJECT_SQL} SELECT * FROM lex")
+def v8p(spark, d):
+    return project_lex(spark, d).drop("project_id")
+
+
+@query("v9_hybrid_union_project", f"""
+WITH {PROJECT_SQL},
+u AS (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.doc_id, v.doc_id) AS doc_id, coalesce(l.score, 0.0) AS keyword_score,
+        coalesce(v.similarity, 0.0) AS vector_score, CASE WHEN v.doc_id IS NULL THEN 'keyword' WHEN l.doc_id IS NULL THEN 'vector' ELSE 'both' END AS match_type
+      FROM (SELECT * FROM lex WHERE score >= 5.0) l FULL JOIN (SELECT * FROM vec WHERE similarity >= {T}) v ON v.query_id = l.query_id AND v.doc_id = l.doc_id),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY greatest(keyword_score / 10.0, vector_score) DESC, doc_id) AS rank FROM u)
+SELECT *, round(greatest(least(0.5 + keyword_score / 12.0, 1.0), vector_score), 6) AS similarity FROM z WHERE rank <= 10""")
+def v9p(spark, d):
+    return se.hybrid_union(project_lex(spark, d), project_vec(spark, d), "query_id", 10, vector_threshold=T)
+
+
+@query("v10_hybrid_rrf_project", f"""
+WITH {PROJECT_SQL},
+u AS (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.doc_id, v.doc_id) AS doc_id,
+   round(coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + v.rank), 0), 9) AS score
+   FROM lex l FULL JOIN vec v ON v.query_id = l.query_id AND v.doc_id = l.doc_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u) WHERE rank <= 10""")
+def v10p(spark, d):
+    return se.hybrid_rrf(project_lex(spark, d), project_vec(spark, d), "query_id", 10)
+
+
+@query("v11_match_needs_project", f"""
+WITH {PROJECT_SQL},
+u AS (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.doc_id, v.doc_id) AS doc_id, coalesce(l.score, 0.0) AS ks, coalesce(v.similarity, 0.0) AS vs
+      FROM (SELECT * FROM lex WHERE score >= 5.0) l FULL JOIN (SELECT * FROM vec WHERE similarity >= {T}) v ON v.query_id = l.query_id AND v.doc_id = l.doc_id),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY greatest(ks / 10.0, vs) DESC, doc_id) AS rn FROM u),
+y AS (SELECT query_id, doc_id, round(greatest(least(0.5 + ks / 12.0, 1.0), vs), 6) AS similarity FROM z WHERE rn <= 10)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM y) WHERE rank <= 5""")
+def v11p(spark, d):
+    return se.hybrid_matches(project_lex(spark, d), project_vec(spark, d), "query_id", 5, vector_threshold=T).select(
+        "query_id", "doc_id", "similarity", "rank")
+
+
 # two needs per agent; projects 10 and 11 have no nodes
 NEEDS = " UNION ALL ".join(f"""
-SELECT concat('agent_', c_custkey) AS agent_id, concat('proj_', c_custkey % 12) AS project_id, {n} AS need_no, (c_custkey * 2 + {n}) % 500 AS vec_id
+SELECT concat('agent_', c_custkey) AS agent_id, concat('proj_', c_custkey % 12) AS project_id, {n} AS need_no, (c_custkey * 2 + {n}) % (SELECT count(*) FROM embeddings) AS vec_id
 FROM customer""" for n in range(2))
 
 
 def needs(spark, d):
-    n = spark.sql(NEEDS.replace("FROM customer", f"FROM parquet.`{d}/customer.parquet`"))
+    n = spark.sql(re.sub(r"FROM (customer|embeddings)", rf"FROM parquet.`{d}/\1.parquet`", NEEDS))
     return n.join(read_table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").select(
         "agent_id", "project_id", "need_no", F.concat_ws("#", "agent_id", "need_no").alias("need"), "embedding")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as C
 from ..plans.blocked import BLOCK_ROWS, cosine_topk, weighted_terms_topk
 from ..plans.cells import CodeIndex, build_codes, code_candidates, pruned_cosine_topk
+from ..plans.impact import ListSearch, sliced_bands, with_band
 from ..plans.skew import top_per_key
 from ..session import materialize
 
@@ -17,6 +18,7 @@ SCORE_DIGITS = 6
 ANN_PROBES = 16
 ANN_RERANK = 8
 ANN_READ = 8
+ONE_PASS_POSTINGS = 1 << 24
 
 
 def cosine_similarity(a: str | Column, b: str | Column) -> Column:
@@ -130,31 +132,40 @@ def bm25_stats(postings: DataFrame, docs: DataFrame) -> DataFrame:
 
 def bm25_search(queries: DataFrame, query_id: str, query_text: str, postings: DataFrame, stats: DataFrame,
                 k: int = C.MAX_MATCHES, docs: DataFrame | None = None, boosts: dict[str, float] | None = None,
-                k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
+                k1: float = C.BM25_K1, b: float = C.BM25_B, lists: bool | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): best 2*k documents per query, the score being that of the best
     boosted field; with ``docs`` (doc_id, project_id) only documents of the query's own project.
     Statistics stay those of the whole index.
 
-    Only postings of query terms take part. Document frequencies are counted on those, and scores are
-    summed block by block, so (query, document) pairs are never rows of a table."""
+    Only postings of query terms take part, and of these only the bands of each list whose impact can still matter
+    (``lists``). By default, queries of one block over few postings are scored in one pass over all of these instead,
+    which costs less than finding out what to leave out; the rows are the same."""
     boosts = boosts or C.BM25_FIELD_BOOSTS
-    terms = (queries.select(query_id, F.explode(tokens(query_text)).alias("term"))
-             .groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf")))
+    terms = (queries.select(F.col(query_id).alias("query"), F.explode(tokens(query_text)).alias("term"))
+             .groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf")))
     wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     boost = F.coalesce(*[F.when(F.col("field") == name, F.lit(float(x))) for name, x in boosts.items()], F.lit(1.0))
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = (terms.join(df, "term").join(F.broadcast(stats), "field")              # stats: one row per field
-               .select(query_id, "field", "term", (idf * F.col("qtf") * boost).alias("w")))
+               .select("query", "field", "term", (idf * F.col("qtf") * boost).alias("w")))
     tf = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    nodes = wanted.join(F.broadcast(stats), "field").select("doc_id", "field", "term", tf.alias("f"))
+    entries = wanted.join(F.broadcast(stats), "field").select("field", "term", F.col("doc_id").alias("node"), tf.alias("f"))
     group: list[str] = []
     if docs is not None:
         group = ["project_id"]
-        weights = weights.join(queries.select(query_id, "project_id"), query_id)
-        nodes = nodes.join(docs.select("doc_id", "project_id"), "doc_id")
-    weights, nodes = materialize(weights, "weights"), materialize(nodes, "query-postings")     # read several times
-    return weighted_terms_topk(weights, nodes, group, query_id, "doc_id", C.CANDIDATE_FACTOR * k, SCORE_DIGITS)
+        weights = weights.join(queries.select(F.col(query_id).alias("query"), "project_id"), "query")
+        entries = entries.join(docs.select(F.col("doc_id").alias("node"), "project_id"), "node")
+    weights, entries = materialize(weights, "weights"), materialize(with_band(entries, k1 + 1), "query-postings")
+    if lists is None:
+        lists = weights.select("query").distinct().count() > BLOCK_ROWS or entries.count() > ONE_PASS_POSTINGS
+    if lists:
+        found = ListSearch(weights, *sliced_bands(entries, group), group, C.CANDIDATE_FACTOR * k, SCORE_DIGITS).top()
+        found = found.withColumnsRenamed({"query": query_id, "node": "doc_id"})
+    else:
+        found = weighted_terms_topk(weights.withColumnRenamed("query", query_id), entries.withColumnRenamed("node", "doc_id"), group,
+                                    query_id, "doc_id", C.CANDIDATE_FACTOR * k, SCORE_DIGITS)
+    return found.select(*group, query_id, "doc_id", "score", "rank")
 
 
 def rank_per(df: DataFrame, keys: list[str], score: str, tie: str, n: int, out: str = "rank") -> DataFrame:
