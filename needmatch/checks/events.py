@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..operators import eventlog as ev
-from ..plans.skew import time_slice
 from ..sources.tables import read_events
 from .fixtures import fx
 from .registry import query
@@ -149,7 +148,7 @@ SELECT t.project_id, t.agent_id, l.data_key, arg_max(l.data, l.sequence) AS data
 FROM t JOIN fx_log l ON l.project_id = t.project_id AND l.created_at <= t.wanted GROUP BY 1, 2, 3""")
 def e9t(spark, d):
     t = derived(spark, d, TIMES).withColumn("wanted", F.col("wanted").cast("timestamp_ntz"))
-    return ev.state_as_of(fx(spark, d, "fx_log"), t, "agent_id", "wanted", "created_at", time_slice)
+    return ev.state_as_of(fx(spark, d, "fx_log"), t, "agent_id", "wanted", "created_at")
 
 
 @query("e10_create_snapshot", f"""

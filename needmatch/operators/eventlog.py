@@ -6,12 +6,11 @@ A log has columns id, project_id, tenant_id, data_key, event_type, data, sequenc
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import EVENTS_PAGE, SNAPSHOTS_KEPT
-from ..plans.skew import as_of, id_slice, sliced_lag, sliced_row_number, time_slice, top_per_key
+from ..plans.intervals import IntervalIndex, interval_index
+from ..plans.skew import SLICE_SECONDS, as_of, id_slice, sliced_lag, sliced_row_number, time_slice, top_per_key
 from ..session import materialize
 
 
@@ -105,16 +104,31 @@ def pages(log: DataFrame, size: int = EVENTS_PAGE) -> DataFrame:
                  F.max("sequence").alias("next_since")))
 
 
-def state_as_of(log: DataFrame, targets: DataFrame, target_id: str, at: str,
-                log_at: str = "sequence", slice_of: Callable[[Column], Column] = id_slice) -> DataFrame:
+def _point(df: DataFrame, at: str) -> Column:
+    """Sequence, or microseconds of a time."""
+    return F.col(at).cast("long") if df.schema[at].dataType.typeName() in ("long", "integer", "short", "byte") else F.unix_micros(F.col(at).cast("timestamp"))
+
+
+def state_index(log: DataFrame, log_at: str = "sequence") -> IntervalIndex:
+    """Index of the versions of every data key by the points (sequences or times) at which they are the last one."""
+    rows = log.select("project_id", "data_key", "sequence", _point(log, log_at).alias("_at"))
+    cut = id_slice if log_at == "sequence" else lambda c: F.floor(c / F.lit(SLICE_SECONDS * 1_000_000)).cast("bigint")
+    return interval_index(rows, ["project_id"], ["data_key"], "_at", ["sequence"], ["sequence"], cut)
+
+
+def versions_at(index: IntervalIndex, targets: DataFrame, target_id: str, at: str) -> DataFrame:
+    """(project_id, target_id, data_key, sequence): the version of every key that holds at each target."""
+    return index.stab(targets.select("project_id", target_id, _point(targets, at).alias("_wanted")), target_id, "_wanted")
+
+
+def state_as_of(log: DataFrame, targets: DataFrame, target_id: str, at: str, log_at: str = "sequence",
+                index: IntervalIndex | None = None) -> DataFrame:
     """Last value of every data key of the project at each target (sequence or time).
 
-    One request per (target, key of its project) - the size of the answer - looked up as-of."""
-    names = log.select("project_id", "data_key").distinct()
-    requests = targets.select("project_id", target_id, F.col(at).alias("_wanted")).join(names, "project_id")
-    source = log.select("project_id", "data_key", "data", "sequence", *({log_at} - {"sequence"}))
-    found = as_of(requests, source, ["project_id", "data_key"], "_wanted", log_at, ["data", "sequence"], slice_of)
-    return found.filter(F.col("sequence").isNotNull()).drop("_wanted")
+    Targets meet an index of version intervals (``index``, or one built here) in an equi join whose rows are those of the
+    answer; payloads are read once, at the end."""
+    found = versions_at(index or state_index(log, log_at), targets, target_id, at)
+    return found.join(log.select("project_id", "sequence", "data"), ["project_id", "sequence"])
 
 
 def create_snapshots(log: DataFrame, targets: DataFrame, target_id: str, at: str) -> DataFrame:
@@ -165,19 +179,19 @@ def closest_snapshot(snaps: DataFrame, targets: DataFrame, target_id: str, at: s
 
 
 def state_from_snapshot(log: DataFrame, entries: DataFrame, snaps: DataFrame, targets: DataFrame,
-                        target_id: str, at: str) -> DataFrame:
-    """State at each target from its closest snapshot plus only the later events.
+                        target_id: str, at: str, index: IntervalIndex | None = None) -> DataFrame:
+    """State at each target from its closest snapshot plus only the later versions: each target has its own base, and only
+    versions after it are read from the log.
 
     ``entries`` are stored snapshot rows (project_id, snapshot_sequence, data_key, data, sequence)."""
     based = closest_snapshot(snaps, targets, target_id, at)
     base = entries.select("project_id", "snapshot_sequence", "data_key", F.col("data").alias("_data"),
                           F.col("sequence").alias("_sequence")).join(
         based.select("project_id", target_id, "snapshot_sequence"), ["project_id", "snapshot_sequence"])
-    oldest = based.groupBy("project_id").agg(F.min(F.coalesce("snapshot_sequence", F.lit(0))).alias("_from"))
-    tail = log.join(oldest, "project_id").filter(F.col("sequence") > F.col("_from")).drop("_from")
-    delta = (state_as_of(tail, based, target_id, at)
+    later = (versions_at(index or state_index(log), targets, target_id, at)
              .join(based.select("project_id", target_id, "snapshot_sequence"), ["project_id", target_id])
              .filter(F.col("sequence") > F.coalesce("snapshot_sequence", F.lit(0))))
+    delta = later.join(log.select("project_id", "sequence", "data"), ["project_id", "sequence"])
     key = ["project_id", target_id, "data_key"]
     return (base.drop("snapshot_sequence").join(delta.drop("snapshot_sequence"), key, "full")
             .select(*key, F.coalesce("data", "_data").alias("data"), F.coalesce("sequence", "_sequence").alias("sequence")))
