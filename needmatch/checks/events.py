@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import eventlog as ev
-from ..sources.tables import read_events
+from ..session import fresh_path
+from ..sources.tables import SlicedLog, read_events
 from .fixtures import fx
 from .registry import query
 
@@ -73,18 +74,32 @@ def s3b(spark, d):
     return ev.batch_publish(derived(spark, d, PUBLISH_ITEMS), fx(spark, d, "fx_log"))[1]
 
 
-@query("e1_events_since", f"""
+E1_SQL = f"""
 WITH c AS ({CURSORS}),
 p AS (SELECT project_id, agent_id, CASE WHEN since LIKE '%-%' THEN 0 ELSE coalesce(TRY_CAST(since AS BIGINT), 0) END AS since FROM c),
 r AS (SELECT p.agent_id, l.project_id, l.id, l.sequence, l.data,
         row_number() OVER (PARTITION BY p.agent_id ORDER BY l.sequence) AS n
       FROM p JOIN fx_log l ON l.project_id = p.project_id AND l.sequence > p.since)
-SELECT agent_id, project_id, id, sequence, data, n FROM r WHERE n <= 10""")
+SELECT agent_id, project_id, id, sequence, data, n FROM r WHERE n <= 10"""
+
+
+@query("e1_events_since", E1_SQL)
 def e1(spark, d):
     return ev.events_since(fx(spark, d, "fx_log"), derived(spark, d, CURSORS), "agent_id", "since", 10).select(
         "agent_id", "project_id", "id", "sequence", "data", "n")
 
 
+@query("e1_events_since_stored", E1_SQL)
+def e1s(spark, d):
+    """From a stored log and its zone map, appended in two halves."""
+    log = fx(spark, d, "fx_log")
+    stored = SlicedLog(spark, fresh_path(spark, "stored-log"), 1000)
+    for half in (0, 1):
+        stored.append(log.where(F.col("id") % 2 == half))
+    return ev.stored_events_since(stored, derived(spark, d, CURSORS), "agent_id", "since", 10).select(
+        "agent_id", "project_id", "id", "sequence", "data", "n")
+
+
 @query("e2_all_events", """
 SELECT id, project_id, sequence FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY sequence) AS rn FROM fx_log)
 WHERE rn <= 100""")

@@ -137,6 +137,13 @@ SELECT doc_id, doc_id % 7 AS kind, source AS project_id, CASE WHEN doc_id % 35 =
             'export class Tree extends Base { }') END
   ELSE text END AS payload
 FROM (SELECT doc_id, source, lang, n_chars, text, translate(text, concat('"', chr(92), chr(10), chr(9), chr(13)), '     ') AS clean FROM documents) dd""",
+    # CSV with a repeated column, quoted commas, quotes and line breaks, blank and missing cells
+    "fx_csv_payloads": """
+SELECT doc_id, source AS project_id, 'csv' AS format_hint,
+  concat('id,name,size,score,ok,name', chr(10), doc_id, ',"Doe, ', lang, '",', n_chars, ',', doc_id % 10, '.5,yes,"say ""', source, '""', '"', chr(10),
+         doc_id + 1, ',x,,1,no,"two', chr(10), 'lines"', chr(10), doc_id + 2, ',y,7,,no,plain', chr(10), 'short,row', chr(10),
+         doc_id + 3, ',z,8,2.25,t,') AS payload
+FROM documents""",
     # import bundles, valid and broken in eight ways
     "fx_bundles": """
 SELECT event_id AS bundle_id, event_id % 8 AS kind,

@@ -64,6 +64,15 @@ def s5(spark, d):
                       F.get_json_object("norm_json", "$").startswith("{").alias("is_object"))
 
 
+@query("s5_csv_norm_json", """
+SELECT doc_id, 'csv' AS format, concat('{"records":[{"id":', doc_id, ',"name":"say \\"', source, '\\"","size":', n_chars, ',"score":', doc_id % 10, '.5,"ok":true},{"id":',
+  doc_id + 1, ',"name":"two\\nlines","size":null,"score":1.0,"ok":false},{"id":', doc_id + 2, ',"name":"plain","size":7,"score":null,"ok":false},{"id":',
+  doc_id + 3, ',"name":null,"size":8,"score":2.25,"ok":true}],"schema":{"id":"int","name":"string","size":"int","score":"float","ok":"bool"},"row_count":4,"column_count":6}') AS norm_json
+FROM documents""")
+def s5c(spark, d):
+    return ing.normalize(fx(spark, d, "fx_csv_payloads"), "doc_id", "payload", "format_hint")[0].select("doc_id", "format", "norm_json")
+
+
 @query("s5_dead_letters", f"""
 WITH {DETECT}
 SELECT doc_id, format FROM f WHERE format IN ('yaml', 'toml') OR (format = 'xml' AND doc_id % 2 = 1)""")

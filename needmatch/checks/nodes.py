@@ -95,6 +95,18 @@ def n5(spark, d):
     return nd.csv_nodes(fx(spark, d, "fx_payloads").filter("kind = 1"), "doc_id", "payload")
 
 
+@query("n5_csv_nodes_quoted", """
+WITH n AS (
+  SELECT doc_id, 0 AS ord, concat('{"id":"', doc_id, '","name":"say \\"', source, '\\"","size":"', n_chars, '","score":"', doc_id % 10, '.5","ok":"yes"}') AS content FROM documents
+  UNION ALL SELECT doc_id, 1, concat('{"id":"', doc_id + 1, '","name":"two\\nlines","size":"","score":"1","ok":"no"}') FROM documents
+  UNION ALL SELECT doc_id, 2, concat('{"id":"', doc_id + 2, '","name":"plain","size":"7","score":"","ok":"no"}') FROM documents
+  UNION ALL SELECT doc_id, 3, '{"id":"short","name":null,"size":null,"score":null,"ok":null}' FROM documents
+  UNION ALL SELECT doc_id, 4, concat('{"id":"', doc_id + 3, '","name":"","size":"8","score":"2.25","ok":"t"}') FROM documents)
+SELECT doc_id, CAST(ord AS INTEGER) AS ord, 'row_' || ord AS path, 'row' AS node_type, content FROM n""")
+def n5q(spark, d):
+    return nd.csv_nodes(fx(spark, d, "fx_csv_payloads"), "doc_id", "payload")
+
+
 @query("n6_node_format_route")
 def n6(spark, d):
     nodes, dead = nd.to_nodes(fx(spark, d, "fx_payloads"), "doc_id", "payload", "format_hint")

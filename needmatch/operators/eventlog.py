@@ -6,12 +6,16 @@ A log has columns id, project_id, tenant_id, data_key, event_type, data, sequenc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import EVENTS_PAGE, SNAPSHOTS_KEPT
 from ..plans.intervals import IntervalIndex, interval_index
-from ..plans.skew import SLICE_SECONDS, as_of, id_slice, sliced_lag, sliced_row_number, time_slice, top_per_key
+from ..plans.skew import SLICE_SECONDS, as_of, id_slice, ranged_row_number, sliced_lag, sliced_row_number, top_per_key
 from ..session import materialize
+from ..sources.tables import SlicedLog
+
+#: Slices to read are a broadcast up to this many.
+MAX_BROADCAST_SLICES = 100_000
 
 
 def latest_sequence(log: DataFrame) -> DataFrame:
@@ -19,16 +23,14 @@ def latest_sequence(log: DataFrame) -> DataFrame:
 
 
 def append_events(batch: DataFrame, log: DataFrame, order: tuple[str, ...] = ("created_at", "id"),
-                  slice_col: Column | None = None, renumber: bool = False) -> DataFrame:
-    """Batch rows with sequence = (last of the project or 0) + position in the batch.
+                  renumber: bool = False) -> DataFrame:
+    """Batch rows with sequence = (last of the project or 0) + position in the batch by ``order``.
 
-    ``slice_col`` must rise with ``order``; the default cuts time. ``renumber`` starts at 1."""
+    ``renumber`` starts at 1."""
     start = None
     if not renumber:
         start = log.groupBy("project_id").agg(F.max("sequence").alias("_start"))
-    rows = batch.drop("sequence")
-    cut = time_slice(order[0]) if slice_col is None else slice_col
-    return sliced_row_number(rows, ["project_id"], cut, list(order), "sequence", start=start)
+    return ranged_row_number(batch.drop("sequence"), ["project_id"], list(order), "sequence", start=start)
 
 
 def batch_publish(items: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,6 +77,35 @@ def events_since(log: DataFrame, cursors: DataFrame, cursor_id: str, since: str,
     return log.join(found, ["project_id", "sequence"])
 
 
+def stored_events_since(stored: SlicedLog, cursors: DataFrame, cursor_id: str, since: str,
+                        count: int = EVENTS_PAGE) -> DataFrame:
+    """events_since on a stored log: the zone map names the slices that can hold the ``count`` events after each cursor,
+    and only these partitions are read; positions are numbered inside them."""
+    zones = materialize(stored.zones(), "zones")
+    asked = cursors.select("project_id", cursor_id, parse_since(since).alias("_since")).withColumn(
+        "slice", F.floor(F.col("_since") / F.lit(stored.rows)).cast("bigint"))
+    at = as_of(asked, zones.withColumnRenamed("slice", "_zone_slice"), ["project_id"], "slice", "_zone_slice", ["_zone_slice", "before", "rows", "zone"])
+    inside = F.coalesce(F.col("_zone_slice") == F.col("slice"), F.lit(False))
+    behind = F.coalesce(F.col("before") + F.col("rows"), F.lit(0))
+    at = materialize(at.select(
+        "project_id", cursor_id, "_since", "slice", F.when(inside, F.col("before")).otherwise(behind).alias("_low"), behind.alias("_high"),
+        F.when(inside, F.col("zone")).otherwise(F.coalesce("zone", F.lit(0)) + 1).alias("_zone")), "cursor-zones")
+    # a slice has a row at least, so that count + 1 zones hold the page
+    reach = at.groupBy("project_id", "_zone").agg(F.max("_high").alias("_high")).select(
+        "project_id", "_high", F.explode(F.sequence(F.col("_zone"), F.col("_zone") + F.lit(count))).alias("zone"))
+    needed = zones.join(reach, ["project_id", "zone"]).where(F.col("before") < F.col("_high") + count)
+    needed = materialize(needed.select("project_id", "slice", "before").distinct(), "needed-slices")
+    events = stored.events().join(F.broadcast(needed.where("before >= 0")) if needed.count() <= MAX_BROADCAST_SLICES else needed,
+                                  ["project_id", "slice"])
+    order = Window.partitionBy("project_id", "slice").orderBy("sequence")
+    placed = materialize(events.select("project_id", "slice", "sequence", (F.row_number().over(order) + F.col("before")).alias("position")), "positions")
+    starts = as_of(at, placed, ["project_id", "slice"], "_since", "sequence", ["position"])
+    wanted = starts.select("project_id", cursor_id, F.coalesce("position", "_low").alias("_from"),
+                           F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(count).cast("bigint"))).alias("n"))
+    found = placed.join(wanted.select("project_id", cursor_id, "n", (F.col("_from") + F.col("n")).alias("position")), ["project_id", "position"])
+    return events.drop("before").join(found.drop("position"), ["project_id", "slice", "sequence"]).drop("slice")
+
+
 def all_events(log: DataFrame, count: int | None = None, event_type: str | None = None) -> DataFrame:
     """Events of each project in order, optionally one type and only the first ``count``."""
     if event_type is not None:

@@ -172,6 +172,38 @@ def csv_tables(df: DataFrame, text: str) -> DataFrame:
             .drop("_d", "_raw", "_rows", "_headed", "_width", "_sample"))
 
 
+def last_index(names: str | Column, name: Column) -> Column:
+    """0-based place of the last occurrence of ``name``: of repeated columns the last one counts."""
+    names = col(names)
+    return F.size(names) - F.array_position(F.reverse(names), name).cast("int")
+
+
+def _quoted(value: Column) -> Column:
+    """JSON text of a string."""
+    whole = F.to_json(F.struct(value.alias("v")))
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _typed_json(value: Column, kind: Column) -> Column:
+    """JSON text of a cell by the type of its column: blank is null, what doesn't convert stays a string."""
+    number = F.to_json(F.struct(value.try_cast("double").alias("v")))
+    typed = (F.when(kind == "int", value.try_cast("decimal(38,0)").cast("string"))
+             .when((kind == "float") & value.try_cast("double").isNotNull(), F.substr(number, F.lit(6), F.length(number) - 6))
+             .when(kind == "bool", F.lower(value).isin(C.TRUE_WORDS).cast("string")))
+    return F.when(blank_to_null(value).isNull(), "null").otherwise(F.coalesce(typed, _quoted(value)))
+
+
+def csv_json(header: str, rows: str, types: str) -> Column:
+    """JSON text of a table: typed records, schema and counts."""
+    names = F.array_distinct(header)
+    pair = lambda n, v: F.concat(_quoted(n), F.lit(":"), v)
+    record = lambda r: F.concat(F.lit("{"), F.array_join(F.transform(names, lambda n: pair(
+        n, _typed_json(F.get(r, last_index(header, n)), F.get(F.col(types), last_index(header, n))))), ","), F.lit("}"))
+    schema = F.array_join(F.transform(names, lambda n: pair(n, _quoted(F.get(F.col(types), last_index(header, n))))), ",")
+    return F.concat(F.lit('{"records":['), F.array_join(F.transform(rows, record), ","), F.lit('],"schema":{'), schema,
+                    F.lit('},"row_count":'), F.size(rows).cast("string"), F.lit(',"column_count":'), F.size(header).cast("string"), F.lit("}"))
+
+
 def csv_records(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per cell: raw value (null when blank), column type and the typed value."""
     tables = csv_tables(df.select(doc_id, text), text)
@@ -297,10 +329,7 @@ def normalize(df: DataFrame, doc_id: str, payload: str, hint: str | None = None,
     text = lambda kind, *more: F.to_json(F.struct(c.alias("content"), F.lit(kind).alias("content_type"), *more))
     md = markdown_structure(rows.withColumn("_md", F.when(is_("markdown"), c)), "_md")
     norm = (F.when(is_("json"), F.to_json(F.try_parse_json(c)))
-            .when(is_("csv"), F.to_json(F.struct(
-                F.transform("rows", lambda r: F.map_from_arrays("header", r)).alias("records"),
-                F.map_from_arrays("header", "types").alias("schema"),
-                F.size("rows").alias("row_count"), F.size("header").alias("column_count"))))
+            .when(is_("csv"), csv_json("header", "rows", "types"))
             .when(is_("xml") & xml_ok, F.to_json(F.col("_xml").dropFields("_corrupt_record")))
             .when(is_("markdown"), text("markdown", "title", "summary", "heading_count", "link_count",
                                         "code_block_count"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import constants as C
 from ..functions import json_walk
 from ..functions.text import clip, col, staged, strip, unix
-from .ingest import csv_tables
+from .ingest import csv_rows, csv_tables, last_index
 
 MARK = "\x01"
 
@@ -67,12 +67,12 @@ def markdown_nodes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def csv_nodes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row node per record, keyed by the first line; missing cells are null."""
-    lines = F.filter(F.split(strip(text), r"\r?\n"), lambda l: F.trim(l) != "")
-    split = staged(df.select(doc_id, text), _rows=F.transform(lines, lambda l: F.split(l, ",")))
+    """One row node per record, keyed by the first record; missing cells are null, quoted cells may hold commas and line
+    breaks, and of repeated columns the last one counts."""
+    split = staged(df.select(doc_id, text), _rows=csv_rows(strip(text), F.lit(",")))
     headed = staged(split, _head=F.get("_rows", F.lit(0)))
     rows = headed.select(doc_id, "_head", F.posexplode(F.expr("slice(_rows, 2, size(_rows))")).alias("ord", "_row"))
-    pairs = F.transform("_head", lambda h, i: F.struct(h.alias("k"), F.get(F.col("_row"), i).alias("v")))
+    pairs = F.transform(F.array_distinct("_head"), lambda h: F.struct(h.alias("k"), F.get(F.col("_row"), last_index("_head", h)).alias("v")))
     return rows.select(doc_id, "ord", F.concat(F.lit("row_"), F.col("ord").cast("string")).alias("path"),
                        F.to_json(F.map_from_entries(pairs), {"ignoreNullFields": "false"}).alias("content"),
                        F.lit("row").alias("node_type"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..plans.skew import SLICE_ROWS
 
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -43,6 +47,37 @@ def append_log(batch: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("project_id", "day").parquet(path))
 
 
+@dataclass
+class SlicedLog:
+    """A stored log, partitioned by ranges of ``rows`` sequence numbers, with its zone map: per project and slice the rows,
+    first and last sequence. An append adds zone rows of its own; they are summed when read."""
+
+    spark: SparkSession
+    path: str
+    rows: int = SLICE_ROWS
+
+    def append(self, batch: DataFrame) -> None:
+        """``batch`` has sequences already and is written once."""
+        sliced = batch.withColumn("slice", F.floor(F.col("sequence") / F.lit(self.rows)).cast("bigint"))
+        sliced.repartition("slice", F.pmod(F.xxhash64("project_id"), F.lit(8))).write.mode("append").partitionBy("slice").parquet(f"{self.path}/events")
+        (sliced.groupBy("project_id", "slice")
+         .agg(F.count(F.lit(1)).alias("rows"), F.min("sequence").alias("first"), F.max("sequence").alias("last"))
+         .write.mode("append").parquet(f"{self.path}/zones"))
+
+    def events(self) -> DataFrame:
+        events = self.spark.read.parquet(f"{self.path}/events")
+        return events.withColumn("slice", F.col("slice").cast("bigint"))
+
+    def zones(self) -> DataFrame:
+        """(project_id, slice, rows, first, last, before, zone): ``before`` rows of the project stand in earlier slices, and
+        ``zone`` numbers its slices."""
+        per_slice = (self.spark.read.parquet(f"{self.path}/zones").groupBy("project_id", "slice")
+                     .agg(F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last")))
+        along = Window.partitionBy("project_id").orderBy("slice")
+        return (per_slice.withColumn("before", F.coalesce(F.sum("rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                .withColumn("zone", F.row_number().over(along)))
+
+
 def write_bundle(bundle: DataFrame, path: str) -> None:
     """Export sections as JSON lines, one folder per project and section."""
     bundle.write.mode("errorifexists").partitionBy("project_id", "section").json(path)

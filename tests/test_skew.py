@@ -1,6 +1,8 @@
 """Ordered primitives: many tiny slices must give what one plain window gives."""
 
+import datetime as dt
 import random
+from unittest import mock
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import Window, functions as F
 from needmatch.operators import access as ac, webhooks as wh
 from needmatch.plans import skew as sk
 from needmatch.plans.blocked import cosine_topk
+from needmatch.session import materialize
 
 
 def rows_of(df, *order):
@@ -126,3 +129,22 @@ def test_cosine_blocks_equal_one_block(spark):
     run = lambda b: cosine_topk(qs, nodes, ["g"], "q", "n", "v", "v", block_rows=b)
     assert rows_of(run(7), "q", "rank") == rows_of(run(4096), "q", "rank")
     assert run(7).count() == sum(i % 6 for i in range(40))
+
+
+def test_ranged_row_number_spreads_one_key_and_hour(spark):
+    """All rows in one key and one hour, with ties of the time: no partition holds much more than its share."""
+    begin = dt.datetime(2024, 1, 1)
+    rows = [("hot", begin + dt.timedelta(milliseconds=(i * 7919) % 5000 // 3), (i * 7919) % 5000) for i in range(5000)]
+    rows += [("b", begin, 1), ("b", begin, 0), ("c", begin + dt.timedelta(days=3), 7)]
+    df = spark.createDataFrame(rows, "k string, at timestamp_ntz, id long").repartition(5)
+    start = spark.createDataFrame([("b", 10)], "k string, _start long")
+    written = []
+    with mock.patch.object(sk, "materialize", side_effect=lambda d, name: written.append(materialize(d, name)) or written[-1]):
+        got = sk.ranged_row_number(df, ["k"], ["at", "id"], start=start, rows_per_slice=250).collect()
+    want = {}
+    for k, at, i in sorted(rows):
+        want[k, i] = want.get((k, "n"), 10 if k == "b" else 0) + 1
+        want[k, "n"] = want[k, i]
+    assert {(r.k, r.id): r.rn for r in got} == {x: n for x, n in want.items() if x[1] != "n"}
+    sizes = [r["count"] for r in written[0].groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 1000
