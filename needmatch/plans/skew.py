@@ -11,14 +11,16 @@ import itertools
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
 
 SLICE_ROWS = 1 << 20
 SLICE_SECONDS = 3600
-MAX_BOUNDS = 4096
+#: Size of a quantile sketch, and how far from a rank its bracket reaches (several times the sketch's usual error).
+SKETCH_SIZE = 4096
+SKETCH_ERROR = 0.004
+SKETCH_STEPS = 256
 FREE_ROUNDS = 3
 
 
@@ -155,49 +157,77 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, out
     return (best.withColumn(out, F.col("_rn").cast("bigint")) if out else best).drop("_rn")
 
 
-def value_slices(df: DataFrame, value: str, rows_per_slice: int = SLICE_ROWS) -> DataFrame:
-    """Add ``_slice`` by quantile bounds of ``value`` so that no slice holds many more than
-    ``rows_per_slice`` rows (distinct values). The bounds, at most MAX_BOUNDS numbers, are the only
-    thing that reaches the driver."""
-    parts = min(MAX_BOUNDS, -(-df.count() // rows_per_slice))
-    if parts <= 1:
-        return df.withColumn("_slice", F.lit(0).cast("bigint"))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = df.agg(F.percentile_approx(value, shares, 4 * MAX_BOUNDS).alias("b")).first()["b"]
-    splits = [float("-inf"), *sorted(set(map(float, bounds))), float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(
-        df.withColumn("_v", F.col(value).cast("double")))
-    return bucketed.withColumn("_slice", F.col("_b").cast("bigint")).drop("_v", "_b")
-
-
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column],
                      rows_per_slice: int = SLICE_ROWS) -> DataFrame:
     """Exact values at given 1-based ranks per key: keys, ``n`` and one column per rank name.
 
-    Each rank is an expression over ``n`` (rows of the key). Equal values are counted first, slice
-    totals locate the slice of each rank and only those slices are ranked.
+    Each rank is an expression over ``n`` (rows of the key). Equal values are counted first. A key of few distinct values
+    is ranked whole. For a larger one a quantile sketch brackets every rank, and a pass over the counts says what lies
+    below the bracket and in it; brackets that still hold too many values are sketched again. Only the values of a
+    bracket are ranked. A bracket that misses its rank is not used, so sketches never decide a result.
     """
     keys = list(keys)
-    counted = materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
-                          .agg(F.count(F.lit(1)).alias("_c")), "counted")       # read three times below
-    sliced = value_slices(counted, value, rows_per_slice)
-    per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_in"))
-    upto = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = (per_slice.withColumn("_upto", F.sum("_in").over(upto))
-              .withColumn("n", F.sum("_in").over(Window.partitionBy(*keys)))
-              .withColumn("_t", F.explode(F.array(*[
-                  F.struct(F.lit(name).alias("name"), expr.cast("bigint").alias("rank"))
-                  for name, expr in ranks.items()])))
-              .filter((F.col("_t.rank") > F.col("_upto") - F.col("_in")) & (F.col("_t.rank") <= F.col("_upto")))
-              .groupBy(*keys, "_slice", "n", (F.col("_upto") - F.col("_in")).alias("_off"))
-              .agg(F.collect_list("_t").alias("_ts")))          # at most len(ranks) entries
-    inside = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    hits = (sliced.join(wanted, [*keys, "_slice"])
-            .withColumn("_cum", F.sum("_c").over(inside) + F.col("_off"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    counted = materialize(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "counted")
+    sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_values"))
+    targets = materialize(sizes.withColumn("_t", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), expr.cast("bigint").alias("rank")) for name, expr in ranks.items()])))
+        .filter((F.col("_t.rank") >= 1) & (F.col("_t.rank") <= F.col("n")))
+        .select(*keys, "n", "_values", "_t.name", "_t.rank"), "ranks")
+
+    few = (targets.filter(F.col("_values") <= rows_per_slice).groupBy(*keys, "n")
+           .agg(F.collect_list(F.struct("name", "rank")).alias("_ts")))          # at most len(ranks) entries
+    along = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    hits = (counted.join(few, keys).withColumn("_cum", F.sum("_c").over(along))
             .withColumn("_hit", F.explode(F.filter(
-                "_ts", lambda t: (t["rank"] > F.col("_cum") - F.col("_c")) & (t["rank"] <= F.col("_cum"))))))
-    return hits.groupBy(*keys, "n").agg(*[
-        F.max(F.when(F.col("_hit.name") == name, F.col(value))).alias(name) for name in ranks])
+                "_ts", lambda t: (t["rank"] > F.col("_cum") - F.col("_c")) & (t["rank"] <= F.col("_cum")))))
+            .select(*keys, "n", "_hit.name", F.col(value).alias("_v")))
+    many = targets.filter(F.col("_values") > rows_per_slice)
+    if not many.isEmpty():
+        hits = hits.unionByName(_bracketed(rows, counted, many, keys, value, rows_per_slice))
+    return hits.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
+def _bracketed(rows: DataFrame, counted: DataFrame, targets: DataFrame, keys: list[str], value: str,
+               rows_per_slice: int) -> DataFrame:
+    """(keys, n, name, _v): the value at the rank of each target (keys, n, _values, name, rank) by narrowing brackets."""
+    kind = counted.schema[value].dataType
+    none = F.lit(None).cast(kind)
+    state = targets.select(*keys, "n", "name", "rank", "_values", none.alias("_low"), none.alias("_high"),
+                           F.lit(0).cast("bigint").alias("_under"), F.col("n").alias("_in"), F.lit(False).alias("_fixed"))
+    held = lambda: (F.coalesce(F.col(value) >= F.col("_low"), F.lit(True)) & F.coalesce(F.col(value) <= F.col("_high"), F.lit(True)))
+    target = [*keys, "name"]
+    while True:
+        state = materialize(state, "brackets")
+        wide = state.filter(~F.col("_fixed") & (F.col("_values") > rows_per_slice))
+        if wide.isEmpty():
+            break
+        sketch = (rows.join(wide.select(*target, "_low", "_high"), keys).filter(held())
+                  .groupBy(*target).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_SIZE).alias("_s")))
+        share = (F.col("rank") - F.col("_under")) / F.col("_in")
+        steps = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(i / SKETCH_STEPS) for i in range(SKETCH_STEPS + 1)]))
+        at = lambda step: F.get("_q", F.greatest(F.lit(0), F.least(F.lit(SKETCH_STEPS), step)).cast("int")).cast(kind)
+        tried = materialize(wide.join(sketch.select(*target, steps.alias("_q")), target).select(     # sketches differ by run
+            *target, "n", "rank", "_values", "_low", "_high", "_under", "_in",
+            at(F.floor((share - SKETCH_ERROR) * SKETCH_STEPS)).alias("_from"), at(F.ceil((share + SKETCH_ERROR) * SKETCH_STEPS)).alias("_to")),
+            "tried-brackets")
+        inside = (F.col(value) >= F.col("_from")) & (F.col(value) <= F.col("_to"))
+        measured = (counted.join(tried.select(*target, "_low", "_high", "_from", "_to"), keys).filter(held())
+                    .groupBy(*target).agg(
+                        F.coalesce(F.sum(F.when(F.col(value) < F.col("_from"), F.col("_c"))), F.lit(0)).alias("_less"),
+                        F.coalesce(F.sum(F.when(inside, F.col("_c"))), F.lit(0)).alias("_now"), F.count_if(inside).alias("_left")))
+        good = ((F.col("rank") > F.col("_under") + F.col("_less")) & (F.col("rank") <= F.col("_under") + F.col("_less") + F.col("_now"))
+                & (F.col("_left") < F.col("_values")))
+        pick = lambda new, old: F.when(good, new).otherwise(F.col(old)).alias(old)
+        narrowed = tried.join(measured, target).select(
+            *keys, "n", "name", "rank", pick(F.col("_left"), "_values"), pick(F.col("_from"), "_low"), pick(F.col("_to"), "_high"),
+            pick(F.col("_under") + F.col("_less"), "_under"), pick(F.col("_now"), "_in"), (~good).alias("_fixed"))
+        state = narrowed.unionByName(state.filter(F.col("_fixed") | (F.col("_values") <= rows_per_slice)))
+    along = Window.partitionBy(*target).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (counted.join(state.select(*target, "n", "rank", "_low", "_high", "_under"), keys).filter(held())
+              .withColumn("_cum", F.sum("_c").over(along) + F.col("_under")))
+    return (ranked.filter((F.col("rank") <= F.col("_cum")) & (F.col("rank") > F.col("_cum") - F.col("_c")))
+            .select(*keys, "n", "name", F.col(value).alias("_v")))
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float],

@@ -148,3 +148,23 @@ def test_ranged_row_number_spreads_one_key_and_hour(spark):
     assert {(r.k, r.id): r.rn for r in got} == {x: n for x, n in want.items() if x[1] != "n"}
     sizes = [r["count"] for r in written[0].groupBy(F.shiftright("_at", 33)).count().collect()]
     assert len(sizes) >= 15 and max(sizes) < 1000
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint"])
+def test_brackets_are_narrowed_to_exact_ranks(spark, kind):
+    """Many more values than a slice holds; one value stands for a third of the rows; keys of one and of few values."""
+    rng = random.Random(8)
+    data = [("hot", rng.gauss(0, 1000) if kind == "double" else rng.randrange(10 ** 6)) for _ in range(30000)]
+    data += [("hot", 7)] * 15000 + [("one", 3)] * 400 + [("few", i % 9) for i in range(500)] + [("none", None)] * 3
+    cast = float if kind == "double" else int
+    data = [(k, None if v is None else cast(v)) for k, v in data]
+    df = spark.createDataFrame(data, f"k string, x {kind}")
+    rank = {"first": F.lit(1), "low": F.floor(F.col("n") / 100), "mid": F.floor(F.col("n") / 2), "high": F.col("n") - 3, "over": F.col("n") + 1}
+    got = {r.k: r for r in sk.order_statistics(df, ["k"], "x", rank, rows_per_slice=300).collect()}
+    assert set(got) == {"hot", "one", "few"}
+    for k, r in got.items():
+        own = sorted(v for key, v in data if key == k)
+        n = len(own)
+        assert (r.n, r["first"], r.low, r.mid, r.high, r.over) == (n, own[0], own[n // 100 - 1], own[n // 2 - 1], own[n - 4], None)
+    wide = [r.k for r in sk.order_statistics(df, ["k"], "x", {"mid": F.floor(F.col("n") / 2)}, 1).collect()]
+    assert sorted(wide) == ["few", "hot", "one"]
