@@ -82,7 +82,7 @@ SELECT concat('ep_', s_suppkey) AS endpoint_id, s_suppkey % 6 <> 5 AS is_active,
        CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat('tenant_', s_suppkey % 5) END AS tenant_id,
        CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'data.published' END AS only_event,
        CASE WHEN s_suppkey % 4 = 0 THEN 'data' END AS only_category,
-       CASE WHEN s_suppkey % 50 <> 0 THEN concat('proj_', s_suppkey % 20) END AS only_project
+       CASE WHEN s_suppkey % 50 <> 0 AND s_suppkey <> 6 THEN concat('proj_', s_suppkey % 20) END AS only_project
 FROM supplier""",
     "fx_hook_events": """
 SELECT event_id, ts, concat('proj_', user_id % 20) AS project_id, concat('tenant_', (user_id % 20) % 5) AS tenant_id, props,
