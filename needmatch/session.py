@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings that results depend on (runtime settings only, safe on any cluster)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")      # of repeated keys the last one counts, as in json_walk
     return spark
 
 
