@@ -5,14 +5,18 @@ The whole part of that number is sure; the fractions are rounded together. Mass
 pair, at random but without bias, until one side is integral; the sum stays. Groups of bounded size pair each document,
 largest first, with the pool of all smaller ones, which share one fraction; so what stays open is small. Each group
 hands its open document up a reduction tree, where open documents are paired two by two. No source is ever gathered in
-one task, and a source ends at most one small document away from its target.
+one task, and a source ends at most one document away from its target.
+
+Equal rows (same key, source and text) are one unit of the tree. Its copies are counted first: of rows * fraction the
+whole part is sure, and only the remainder is rounded, with the mass of one document. So a unit of any size moves its
+source by one document at most.
 
 Targets: sources in order of their names, null last, weigh ``weights`` in turn and share the words of all documents;
 a target stops at ``most`` times its source's size, and the excess goes to the others by weight until none is above.
 
-Defined results: a null text has no words; documents without words get their whole copies only; equal rows are rounded
-as one unit; an empty table gives no rows; other columns are ignored. All choices follow from row contents and the
-seed, so reruns agree.
+Defined results: a null text has no words; documents without words get their whole copies only; of equal rows, which
+are interchangeable, some are copied once more than the others; an empty table gives no rows; other columns are
+ignored. All counts follow from row contents and the seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 GROUP_ROWS = 8192
 FAN_IN = 256
-UNIT = "source string, key string, content long, rows long, size long"
+BLOCK_COPIES = 4096
+UNIT = "source string, key string, content long, rows long, size long, sure long"
 STATE = f"bucket long, {UNIT}, fraction double, extra int"
 
 
@@ -116,10 +121,15 @@ def _rounding(seed: int, level: int):
                               ignore_index=True)
         first = pdf.iloc[0]
         name = f"{seed}|{level}|{first['bucket']}|{first['source']}"
-        draws = np.random.default_rng(xxhash.xxh3_64_intdigest(name)).random(len(pdf))
-        masses, fractions = pdf["size"].to_numpy(float) * pdf["rows"].to_numpy(float), pdf["fraction"].to_numpy(float)
-        fractions = (pair_rounding(masses, fractions, draws) if level
-                     else pool_rounding(masses, float(fractions[0]), draws))
+        generator = np.random.default_rng(xxhash.xxh3_64_intdigest(name))
+        draws = generator.random(len(pdf))
+        masses, fractions = pdf["size"].to_numpy(float), pdf["fraction"].to_numpy(float)
+        if not level:       # single rows share one fraction; units of equal rows have their own remainders
+            single = pdf["rows"].to_numpy() == 1
+            if single.any():
+                fractions[single] = pool_rounding(masses[single], float(fractions[single][0]), draws[single])
+            draws = generator.random(len(pdf))
+        fractions = pair_rounding(masses, fractions, draws)
         extra = np.where(np.isin(fractions, (0.0, 1.0)), fractions, -1.0).astype(np.int32)
         return pdf.assign(extra=extra, fraction=fractions)
     return run
@@ -127,7 +137,7 @@ def _rounding(seed: int, level: int):
 
 def round_together(units: DataFrame, widest: int, seed: int) -> list[DataFrame]:
     """Settled units of each level of the reduction tree; ``units`` has the columns of STATE but extra, and one
-    fraction a source."""
+    fraction for all single rows of a source."""
     settled, level = [], 0
     rows = units.withColumn("extra", F.lit(-1))
     while True:
@@ -143,10 +153,10 @@ def round_together(units: DataFrame, widest: int, seed: int) -> list[DataFrame]:
     return [*settled, rows.withColumn("extra", (draw < F.col("fraction")).cast("int"))]
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
-        most: float = MOST, seed: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(key, source, content, size, source_size, target, copies, taken) of every row; content hashes its text."""
-    kind = docs.schema[key].dataType
+def mixed_units(docs: DataFrame, key: str, text: str, source: str, weights, most: float, seed: int,
+                group_rows: int) -> DataFrame:
+    """(key, source, content, rows, size, source_size, target, least, more) of every unit of equal rows; content hashes
+    the text. ``more`` of a unit's rows are copied ``least`` + 1 times, the others ``least`` times."""
     rows = docs.select(F.col(key).cast("string").alias("key"), F.col(source).cast("string").alias("source"),
                        F.xxhash64(F.col(text).cast("string")).alias("content"),
                        word_count(F.col(text).cast("string")).alias("size"))
@@ -160,32 +170,85 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     by_source = targets.withColumnRenamed("source", "of")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     buckets = F.ceil(F.col("units") / group_rows)
-    mixed = (units.join(by_source, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-             .withColumn("ratio", ratio)
-             .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "key", "content"), buckets).cast("long")))
-    worded = mixed.where("size > 0").select(
-        "bucket", "source", "key", "content", "rows", "size", (F.col("ratio") - F.floor("ratio")).alias("fraction"))
+    wanted = F.col("rows") * (F.col("ratio") - F.floor("ratio"))
+    worded = (units.where("size > 0").join(by_source, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+              .withColumn("ratio", ratio).withColumn("wanted", wanted)
+              .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "key", "content"), buckets).cast("long"))
+              .select("bucket", "source", "key", "content", "rows", "size", F.floor("wanted").cast("long").alias("sure"),
+                      (F.col("wanted") - F.floor("wanted")).alias("fraction")))
     widest = targets.agg(F.max(F.ceil(F.col("units") / group_rows))).first()[0] or 0
     settled = round_together(worded, widest, seed)
-    extras = settled[0]
-    for more in settled[1:]:
-        extras = extras.unionByName(more)
-    chosen = extras.select("source", "key", "content", "rows", "size", "extra").unionByName(
-        units.where("size = 0").withColumn("extra", F.lit(0)).select("source", "key", "content", "rows", "size", "extra"))
-    copies = (F.floor(ratio) + F.col("extra")).cast("long")
+    unit = ["source", "key", "content", "rows", "size"]
+    chosen = units.where("size = 0").select(*unit, F.lit(0).cast("long").alias("more"))
+    for level in settled:
+        chosen = chosen.unionByName(level.select(*unit, (F.col("sure") + F.col("extra")).cast("long").alias("more")))
     return (chosen.join(by_source, F.col("source").eqNullSafe(F.col("of")))
+            .select("key", "source", "content", "rows", "size", "source_size", "target",
+                    F.floor(ratio).cast("long").alias("least"), "more"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
+        most: float = MOST, seed: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(key, source, content, size, source_size, target, copies, taken) of every row; content hashes its text."""
+    kind = docs.schema[key].dataType
+    units = mixed_units(docs, key, text, source, weights, most, seed, group_rows)
+    # rows of a unit come from blocks of BLOCK_COPIES numbers; blocks of large units are dealt to all tasks
+    blocks = units.withColumn("_block", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / BLOCK_COPIES).cast("long"))))
+    large = blocks.where(F.col("rows") > BLOCK_COPIES).repartition("key", "content", "_block")
+    begin = F.col("_block") * BLOCK_COPIES + 1
+    number = F.explode(F.sequence(begin, F.least(F.col("rows"), begin + BLOCK_COPIES - 1)))
+    copies = F.col("least") + (F.col("_number") <= F.col("more")).cast("long")
+    return (blocks.where(F.col("rows") <= BLOCK_COPIES).unionByName(large).withColumn("_number", number)
             .withColumn("copies", copies)
             .select(F.col("key").cast(kind).alias(key), F.col("source").alias(source), "content", "size",
-                    "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
-                    F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_row")).drop("_row"))
-
-
-def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of the mix: every row of ``docs`` as often as it is copied, with its columns as they were."""
-    plan = (mix(docs, key, text, source, **options).where("copies > 0")
-            .select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("content").alias("_content"),
-                    F.col("copies").alias("_copies")).distinct())
-    same = (F.col(key).eqNullSafe(F.col("_key")) & F.col(source).cast("string").eqNullSafe(F.col("_source"))
-            & (F.xxhash64(F.col(text).cast("string")) == F.col("_content")))
-    return (docs.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-            .select(*[F.col(c) for c in docs.columns]))
+                    "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
+
+
+def numbered(rows: DataFrame, unit: list[str], name: str) -> DataFrame:
+    """Adds column ``name``: the place of each row in its unit, from 1, in the order of a table written here.
+
+    A unit's rows are counted per partition and then numbered within it, so none is gathered in one task.
+    """
+    rows = materialize(rows.withColumn(name, F.monotonically_increasing_id()), "mixing-equal-rows")
+    part = F.shiftright(F.col(name), 33)
+    rows = rows.withColumn(f"{name}_part", part)
+    same = [F.col(c).alias(f"{name}_{i}") for i, c in enumerate(unit)]
+    counts = rows.groupBy(*same, F.col(f"{name}_part").alias(f"{name}_of")).agg(F.count("*").alias(f"{name}_n"))
+    before = Window.partitionBy(*[f"{name}_{i}" for i in range(len(unit))]).orderBy(f"{name}_of").rowsBetween(
+        Window.unboundedPreceding, -1)
+    starts = counts.withColumn(f"{name}_start", F.coalesce(F.sum(f"{name}_n").over(before), F.lit(0)))
+    meet = F.col(f"{name}_part") == F.col(f"{name}_of")
+    for i, c in enumerate(unit):
+        meet = meet & F.col(c).eqNullSafe(F.col(f"{name}_{i}"))
+    within = F.row_number().over(Window.partitionBy(*unit, f"{name}_part").orderBy(name))
+    kept = [c for c in rows.columns if c not in (name, f"{name}_part")]
+    return (rows.withColumn(f"{name}_place", within).join(starts, meet)
+            .select(*kept, (F.col(f"{name}_start") + F.col(f"{name}_place")).alias(name)))
+
+
+def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
+               most: float = MOST, seed: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The rows of the mix: every row of ``docs`` as often as it is copied, with its columns as they were, whatever
+    their names."""
+    plan = materialize(mixed_units(docs, key, text, source, weights, most, seed, group_rows)
+                       .select(F.col("key").alias("_key"), F.col("source").alias("_source"),
+                               F.col("content").alias("_content"), "rows", "least", "more")
+                       .where("least + more > 0"), "mixing-plan")
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    own = [F.col(f"row.`{key}`").cast("string"), F.col(f"row.`{source}`").cast("string"),
+           F.xxhash64(F.col(f"row.`{text}`").cast("string"))]
+
+    def meet(units: DataFrame) -> DataFrame:
+        return whole.join(units, own[0].eqNullSafe(F.col("_key")) & own[1].eqNullSafe(F.col("_source"))
+                          & (own[2] == F.col("_content")))
+
+    alike = plan.where((F.col("more") == 0) | (F.col("more") == F.col("rows")))
+    split = plan.where((F.col("more") > 0) & (F.col("more") < F.col("rows")))
+    taken = meet(alike).select("row", (F.col("least") + (F.col("more") > 0).cast("long")).alias("copies"))
+    if not split.isEmpty():
+        places = numbered(meet(split), ["_key", "_source", "_content"], "place")
+        taken = taken.unionByName(places.select(
+            "row", (F.col("least") + (F.col("place") <= F.col("more")).cast("long")).alias("copies")))
+    return (taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+            .select("row.*"))

@@ -209,16 +209,45 @@ def test_rounding_is_unbiased():
 
 
 def test_mixed_rows(odd, bare):
-    plan = {(r.doc_id, r.source, r.content): r for r in mixing.mix(odd).collect()}
+    plan = Counter()
+    for r in mixing.mix(odd).collect():
+        plan[r.doc_id, r.source] += r.copies
     rows = mixing.mixed_rows(odd)
     assert rows.columns == odd.columns
-    repeated = Counter((r.doc_id, r.source) for r in odd.collect())
-    got = Counter((r.doc_id, r.source) for r in rows.collect())
-    for (key, source, _), r in plan.items():
-        assert got[key, source] == r.copies * repeated[key, source]
+    assert Counter((r.doc_id, r.source) for r in rows.collect()) == +plan
     assert mixing.mix(bare).count() == 0 and mixing.mixed_rows(bare).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_equal_rows_are_mixed_apart(spark, seed):
+    """Half of a source is one row 5000 times over; the source still meets its target."""
+    text = prose(3, 40)
+    rows = ([(7, text, "a", 0)] * 5000 + [(1000 + i, prose(i, 40), "a", 0) for i in range(300)]
+            + [(5000 + i, prose(i, 37), "b", 0) for i in range(1500)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copy int").repartition(5)
+    got = mixing.mix(docs, seed=seed, group_rows=64)
+    totals = {r.source: r for r in got.groupBy("source").agg({"taken": "sum", "target": "max", "*": "count"}).collect()}
+    for r in totals.values():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 40
+    assert totals["a"]["count(1)"] == 5300
+    copies = {r.copies for r in got.where("doc_id = 7").collect()}
+    assert len(copies) == 2 and max(copies) - min(copies) == 1
+    out = mixing.mixed_rows(docs, seed=seed, group_rows=64)
+    assert out.columns == docs.columns
+    want = {r.doc_id: r["sum(copies)"] for r in got.groupBy("doc_id").agg({"copies": "sum"}).collect() if r["sum(copies)"]}
+    assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == want
+
+
+def test_mixed_rows_with_clashing_names(spark):
+    """Columns named like the operator's own pass through as they are."""
+    names = ["_key", "_source", "_content", "_copies", "_copy", "row", "rows", "least", "more", "place", "copies", "copy"]
+    rows = [(i, prose(i, 20), "a", *[f"{n}{i}" for n in names]) for i in range(20)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = mixing.mixed_rows(docs)
+    assert out.columns == docs.columns
+    assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+
+
 def linked_components(texts, width=4):
     sets = {}
     for i, t in texts.items():
