@@ -14,17 +14,26 @@ WIDTH = 5
 PERCENT = 80
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    judged = quality_classifier.score(docs, read_table(spark, sf_dir, "labels"), out="_verdict")
-    return judged.where("_verdict.kept").select(*[F.col(c) for c in docs.columns])
+    out = unused(docs, "verdict")
+    judged = quality_classifier.score(docs, read_table(spark, sf_dir, "labels"), out=out)
+    return judged.where(F.col(out)["kept"]).select(*docs.columns)
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold."""
     lexicon = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return (toxicity.score(docs, lexicon, out="_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD)
-            .select(*[F.col(c) for c in docs.columns]))
+    out = unused(docs, "toxicity")
+    return toxicity.score(docs, lexicon, out=out).where(F.col(out) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +43,10 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = (jaccard_join.near_copies(rows, key="row", width=WIDTH, percent=PERCENT)
              .where(F.col("row").eqNullSafe(F.col("component_id")))
              .select(F.col("row.doc_id").alias("_id"), F.col("row.content").alias("_content")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (content == F.col("_content"))
-    return docs.join(first, same).dropDuplicates(["_id", "_content"]).select(*[F.col(c) for c in docs.columns])
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    same = (F.col("row.doc_id").eqNullSafe(F.col("_id"))
+            & (F.xxhash64(F.col("row.text").cast("string")) == F.col("_content")))
+    return whole.join(first, same).dropDuplicates(["_id", "_content"]).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
