@@ -64,6 +64,24 @@ def test_token_counts(spark, odd):
         assert stored.count() == stored.distinct().count()
 
 
+def test_repeated_texts_are_encoded_once(spark):
+    """A third of all rows are one text under one key or many; only distinct texts reach the encoder."""
+    rows = ([(1, "the same text again")] * 5000 + [(n, "another text") for n in range(3000)] + [(None, "no key")] * 3
+            + [(n, f"text number {n}") for n in range(4000)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    texts = token_counts.digests(docs, WORDS, "doc_id", "text")
+    misses = texts.groupBy("digest").agg(F.min("key").alias("holder"), F.count("*").alias("copies"))
+    for least in (12.0, 1e9):       # with and without hot digests
+        found = token_counts.missing_texts(texts, misses, least).collect()
+        assert len(found) == len({bytes(r.digest) for r in found}) == 4003
+    library = Tokenizer.from_file(WORDS)
+    want = sorted((-1 if k is None else k, len(library.encode(t).ids)) for k, t in rows)
+    cache = fresh_path(spark, "cache")
+    got = token_counts.token_counts(docs, WORDS, cache).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got) == want
+    assert spark.read.parquet(cache).count() == 4003
+
+
 def test_empty(spark, bare):
     assert packing.pack(bare, BYTES).count() == 0
     assert token_counts.token_counts(bare, WORDS, fresh_path(spark, "cache")).count() == 0
