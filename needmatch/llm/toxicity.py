@@ -196,10 +196,19 @@ def quoted(around: list[str], at: int) -> bool:
 
 
 def tail(hits: int, n: int, rate: float) -> float:
-    """Probability of at least ``hits`` toxic documents among n drawn at the base rate (bounded for large n)."""
-    if n > 60:
-        return rate ** 20
-    return sum(math.comb(n, k) * rate ** k * (1 - rate) ** (n - k) for k in range(hits, n + 1))
+    """Probability of at least ``hits`` toxic documents among n drawn at the base rate: the binomial tail, summed from
+    logarithms until, beyond the mode, a term adds nothing."""
+    if hits <= 0 or rate >= 1.0:
+        return 1.0 if hits <= n else 0.0
+    if rate <= 0.0:
+        return 0.0
+    total, odd, even = 0.0, math.log(rate), math.log1p(-rate)
+    for k in range(hits, n + 1):
+        term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * odd + (n - k) * even)
+        total += term
+        if k > n * rate and term <= total * 1e-17:
+            break
+    return min(total, 1.0)
 
 
 def terms_of(text: str) -> set[Entry]:

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -248,6 +249,30 @@ def test_mixed_rows_with_clashing_names(spark):
     assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
 
 
+def test_labelled_sample_is_bounded_on_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "one text")] * 5000 + [(2, f"text {n}") for n in range(500)] + [(3, None), (None, "x")],
+                                 "doc_id long, text string").repartition(5)
+    marks = spark.createDataFrame([(1, 0, 1), (1, 0, 1), (2, 1, 0), (3, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = labelled.labelled_sample(docs, marks, "toxic", max_rows=10).collect()
+    assert sorted((r.key, r.label) for r in got) == [(1, 1), (2, 0), (3, 0)]
+    assert {r.key: r.text for r in got}[3] == ""
+    assert labelled.labelled_sample(docs, marks, "toxic", max_rows=2).count() == 2
+    again = labelled.labelled_sample(docs.repartition(3), marks, "toxic", max_rows=10).collect()
+    assert sorted(got) == sorted(again)
+
+
+def test_tail_is_the_binomial_tail():
+    """Against exact fractions; the number of documents switches nothing."""
+    for rate in (Fraction(1, 50), Fraction(1, 2), Fraction(9, 10)):
+        for n in (1, 5, 60, 61, 200, 400):
+            for hits in {0, 1, n // 2, n - 1, n}:
+                want = sum(math.comb(n, k) * rate ** k * (1 - rate) ** (n - k) for k in range(hits, n + 1))
+                assert toxicity.tail(hits, n, float(rate)) == pytest.approx(float(want), rel=1e-9, abs=1e-300)
+    assert toxicity.tail(61, 61, 0.9) < toxicity.tail(60, 60, 0.9) < toxicity.MAX_CHANCE
+    assert toxicity.tail(400, 400, 0.9) < 1e-15 < toxicity.tail(20000, 20000, 0.999)
+    assert toxicity.tail(3, 5, 0.0) == 0.0 and toxicity.tail(3, 5, 1.0) == 1.0 and toxicity.tail(0, 0, 0.3) == 1.0
+
+
 def linked_components(texts, width=4):
     sets = {}
     for i, t in texts.items():

@@ -50,6 +50,18 @@ def test_single_against_brute_force(spark):
     assert got == set(texts) - near
 
 
+def test_clashing_names(spark):
+    """Columns named like those that the stages use on the way pass through as they are."""
+    names = ["verdict", "_verdict", "Toxicity", "_toxicity", "_id", "_content", "_key", "_copies", "_copy", "row", "content",
+             "component_id"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    docs = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, FOLDER)
+        assert rows.columns == docs.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows.collect() for n in names)
+
+
 def test_odd_and_empty_tables(spark, odd, bare, labels):
     folder = fresh_path(spark, "tables")
     labels.write.parquet(f"{folder}/labels.parquet")
