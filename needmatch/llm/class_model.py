@@ -1,15 +1,21 @@
 """Language-model scores by Brown classes: exchange clustering and a class bigram.
 
-Every word belongs to a class; P(text) is the product over its tokens of P(class | class before) and P(word | class).
+Every word belongs to a class; P(text) is the product over its tokens of P(class | history) and P(word | class).
 Words that make up at least 1 / HEADS of the training tokens are units of their own; all rarer words share TAILS units by
-their last two letters. The exchange algorithm moves units between classes as long as that raises the likelihood of the
-training bigrams; here all units weigh their best move at once against the same class counts, and a random half of them
-moves each round. Transitions are smoothed by class frequencies; emissions by absolute discounting, where what is taken
-off the known words of a class goes to the one unknown word of that class.
-
-Counts are exact and cover all training text. Counts of frequent words are broadcast (those with at least
+their last two letters at first. The exchange algorithm moves units between classes; here all units weigh their best move
+at once against the same class counts, and a random half of them moves each round, until two rounds together gain less
+than MIN_GAIN a token. Then every rare word that occurs MIN_COUNT times leaves its unit and is exchanged by itself, as
+part of the data: a word meets its own counts of the histories it follows, a table with a row a word, in TURNS groups of
+words, each against class counts that hold the moves of the groups before. The history of a token is the class of the unit
+of the token before, so it is known without a lookup; what is predicted is the word's own class. Words below MIN_COUNT
+keep the class of their unit. What is clustered by itself thus grows with the input, and nothing of it passes the driver.
+
+Transitions are smoothed by class frequencies; emissions by absolute discounting, where what is taken off the known words
+of a class goes to the one unknown word of that class (for an unknown word, the class of its unit).
+
+Counts are exact and cover all training text. Counts and classes of frequent words are broadcast (those with at least
 1 / MAX_KNOWN of the tokens, so MAX_KNOWN at most); of the others each block of texts asks for its distinct words once,
-by a join with the counts.
+by a join with the table of rare words.
 
 Defined results: a null or empty text is its end token alone; repeated rows are scored each; without training text every
 token is unknown; an empty table gives no rows; a null key is allowed; other columns are ignored. Words are 64-bit hashes.
@@ -17,8 +23,10 @@ token is unknown; an empty table gives no rows; a null key is allowed; other col
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -31,7 +39,11 @@ from ..session import materialize
 from .words import Words, mixed, slices
 
 CLASSES = 64
-ROUNDS = 10
+#: The exchange of units goes on while two rounds gain this much a token (in nats).
+MIN_GAIN = 1e-3
+#: A rare word seen less often says too little of its neighbours to have a class of its own.
+MIN_COUNT = 3
+TURNS = 4
 HEADS = 1 << 15
 TAILS = 1024
 MAX_KNOWN = 1 << 20
@@ -177,15 +189,20 @@ def likelihood(counts: np.ndarray) -> float:
     return float(xlogx(counts).sum() - xlogx(counts.sum(1)).sum() - xlogx(counts.sum(0)).sum())
 
 
-def exchange(adjacent: DataFrame, frequency: np.ndarray, k: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all units and their bigram counts; ``adjacent`` is a written table of ``neighbours``."""
+def exchange(adjacent: DataFrame, frequency: np.ndarray, k: int = CLASSES, min_gain: float = MIN_GAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all units and their bigram counts; ``adjacent`` is a written table of ``neighbours``.
+
+    Each pair of rounds but the last raises the best likelihood, which is bounded, so the loop ends.
+    """
     end = len(frequency) - 1
     classes = np.empty(len(frequency), np.int64)
     classes[np.argsort(-frequency, kind="stable")] = np.arange(len(frequency)) % (k - 1)
     classes[end] = k - 1
     counts = class_pairs(adjacent, classes, k)
     best = (likelihood(counts), classes, counts)
-    for turn in range(rounds):
+    needed = max(min_gain * counts.sum(), 1e-6)
+    marks = [best[0]]
+    for turn in itertools.count():
         def propose(batches: Iterator[pa.RecordBatch], classes=classes, counts=counts, turn=turn) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 unit = batch.column("unit").to_numpy().astype(np.int64)
@@ -207,18 +224,107 @@ def exchange(adjacent: DataFrame, frequency: np.ndarray, k: int = CLASSES, round
         classes[moved["unit"].to_numpy()] = moved["to"].to_numpy()
         counts = class_pairs(adjacent, classes, k)
         best = max(best, (likelihood(counts), classes, counts), key=lambda b: b[0])
+        marks.append(best[0])
+        if turn and marks[-1] - marks[-3] < needed:
+            break
     return best[1], best[2]
 
 
+def rare_histories(train: DataFrame, units: Units, classes: np.ndarray) -> DataFrame:
+    """(word, tail, n, after): a row a rare word, with how often it follows each class; at most a cell a class."""
+    shared = train.sparkSession.sparkContext.broadcast((units, classes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, unit_classes = shared.value
+        k = int(unit_classes.max()) + 1
+        for batch in slices(batches, "text"):
+            words = Words(batch.column("text"), lower=True)
+            hashes, tails = words.hashes().astype(np.uint64), tail_groups(words.vocabulary)
+            unit = own.of(hashes, tails)
+            tokens, _ = own.sequence(words, unit)
+            at = np.arange(len(words.codes)) + words.owner()
+            history = unit_classes[np.concatenate([[own.end], tokens[:-1]])][at]
+            is_rare = (unit >= len(own.heads))[words.codes]
+            cells, n = np.unique(words.codes[is_rare].astype(np.int64) * k + history[is_rare], return_counts=True)
+            code = cells // k
+            yield pa.RecordBatch.from_arrays(
+                [signed(hashes[code]), pa.array(tails[code].astype(np.int32)), pa.array((cells % k).astype(np.int32)),
+                 pa.array(n.astype(np.int64))], ["word", "tail", "h", "n"])
+
+    # one shuffle: both groupings hold within a word's partition, and no rare word is frequent
+    return (train.mapInArrow(count, "word long, tail int, h int, n long").repartition("word")
+            .groupBy("word", "h").agg(F.max("tail").alias("tail"), F.sum("n").alias("n"))
+            .groupBy("word").agg(F.max("tail").alias("tail"), F.sum("n").alias("n"),
+                                 F.sort_array(F.collect_list(F.struct("h", "n"))).alias("after")))
+
+
+def best_classes(row: np.ndarray, h: np.ndarray, n: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Exchange step for the predicted class of some words against fixed ``counts`` (history, class).
+
+    Entry i says that word ``row[i]`` follows class ``h[i]`` ``n[i]`` times; entries stand by word, every word has one.
+    ``own`` are the words' classes, whose counts hold them. The last class belongs to the end token alone.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    rest = counts[h].astype(float)
+    rest[np.arange(len(h)), own[row]] -= n
+    value = np.add.reduceat(xlogx(rest + n[:, None]) - xlogx(rest), starts)
+    total = np.add.reduceat(n, starts)
+    size = np.repeat(counts.sum(0)[None, :], len(own), 0)
+    size[np.arange(len(own)), own] -= total
+    value -= xlogx(size + total[:, None]) - xlogx(size)
+    value[:, -1] = -np.inf
+    best = np.argmax(value, 1)
+    here = np.arange(len(own))
+    return np.where(value[here, best] > value[here, own] + 1e-6, best, own)
+
+
+def exchange_rare(histories: DataFrame, units: Units, classes: np.ndarray, counts: np.ndarray, min_count: int = MIN_COUNT,
+                  turns: int = TURNS) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, class) of all rare words, and the bigram counts with their moves; ``histories`` is a written table."""
+    first_tail, done = len(units.heads), []
+    group = F.pmod(F.xxhash64("word"), F.lit(turns))
+    for turn in range(turns):
+        def move(batches: Iterator[pa.RecordBatch], counts=counts) -> Iterator[pa.RecordBatch]:
+            moved = np.zeros(counts.shape)
+            for batch in batches:
+                for at in range(0, len(batch), 2000):       # a word's cells are weighed for all classes at once
+                    part = batch.slice(at, 2000)
+                    cells = part.column("after")
+                    total = part.column("n").to_numpy()
+                    row = np.repeat(np.arange(len(part)), pc.list_value_length(cells).to_numpy(zero_copy_only=False))
+                    flat = cells.flatten()
+                    h, n = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(float)
+                    own = classes[first_tail + part.column("tail").to_numpy()]
+                    to = np.where(total >= min_count, best_classes(row, h, n, own, counts), own)
+                    np.add.at(moved, (h, to[row]), n)
+                    np.add.at(moved, (h, own[row]), -n)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("word"), part.column("n"), pa.array(to.astype(np.int32)), pa.nulls(len(part), pa.int32())],
+                        ["word", "n", "class", "cell"])
+            cell = np.flatnonzero(moved)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(cell), pa.int64()), pa.array(moved.ravel()[cell].astype(np.int64)),
+                 pa.nulls(len(cell), pa.int32()), pa.array(cell.astype(np.int32))], ["word", "n", "class", "cell"])
+
+        rows = materialize(histories.where(group == turn).mapInArrow(move, "word long, n long, class int, cell int"), "rare-classes")
+        changes = np.zeros(counts.size)
+        for r in rows.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n")).collect():    # k * k at most
+            changes[r["cell"]] = r["n"]
+        counts = counts + changes.reshape(counts.shape)
+        done.append(rows.where("cell IS NULL").select("word", "n", "class"))
+    return reduce(DataFrame.unionAll, done), counts
+
+
 class Model(NamedTuple):
     units: Units
     classes: np.ndarray         # of units
-    transitions: np.ndarray     # log10 P(class | class before)
+    transitions: np.ndarray     # log10 P(class | class of the unit before)
     class_tokens: np.ndarray    # training tokens of each class
     unknown: np.ndarray         # log10 P(unknown word | class)
     discount: float
     known: np.ndarray           # sorted hashes of frequent words
     known_n: np.ndarray
+    known_class: np.ndarray
     tokens: int
     types: int
 
@@ -230,41 +336,52 @@ class Model(NamedTuple):
         return np.where(n > 0, seen, self.unknown[classes])
 
 
-def fit(train: DataFrame, counts: DataFrame, k: int = CLASSES, rounds: int = ROUNDS) -> Model:
-    """``counts`` is a written table of ``count_words`` over ``train``."""
-    n = F.col("n")
+def fit(train: DataFrame, counts: DataFrame, k: int = CLASSES, heads: int = HEADS,
+        max_known: int = MAX_KNOWN) -> tuple[Model, DataFrame]:
+    """The model and (word, n, class) of its rare words; ``counts`` is a written table of ``count_words`` over ``train``."""
+    n, end = F.col("n"), int(END)
     once = F.sum((n == 1).cast("long"))
     twice = F.sum((n == 2).cast("long"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"),
                        F.coalesce(once, F.lit(0)).alias("once"), F.coalesce(twice, F.lit(0)).alias("twice")).first()
-    tokens, end = total["tokens"], int(END)
-    frequent = counts.where(n * MAX_KNOWN >= tokens).select("word", "n").toPandas()      # MAX_KNOWN rows at most
+    tokens = total["tokens"]
+    frequent = counts.where((n * heads >= tokens) & (F.col("word") != end)).select("word", "n").toPandas()   # heads rows at most
     order = np.argsort(frequent["word"].to_numpy(np.int64).view(np.uint64))
-    known = frequent["word"].to_numpy(np.int64).view(np.uint64)[order]
-    known_n = frequent["n"].to_numpy(np.int64)[order]
-    is_head = (known_n * HEADS >= tokens) & (known != END)
-    units = Units(known[is_head])
-
-    # tokens and types of each unit: heads are known, tail groups are added up from all rare words
-    frequency, types = np.zeros(units.count), np.zeros(units.count)
-    frequency[:len(units.heads)], types[:len(units.heads)] = known_n[is_head], 1
-    rare = counts.where((n * HEADS < tokens) & (F.col("word") != end))
-    for r in rare.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
-        frequency[len(units.heads) + r["tail"]], types[len(units.heads) + r["tail"]] = r["n"], r["types"]
+    units = Units(frequent["word"].to_numpy(np.int64).view(np.uint64)[order])
+
+    frequency = np.zeros(units.count)
+    frequency[:len(units.heads)] = frequent["n"].to_numpy(np.int64)[order]
+    rare = counts.where((n * heads < tokens) & (F.col("word") != end))
+    for r in rare.groupBy("tail").agg(F.sum("n").alias("n")).collect():
+        frequency[len(units.heads) + r["tail"]] = r["n"]
     ends = counts.where(F.col("word") == end).first()
     if ends is not None:
-        frequency[units.end], types[units.end] = ends["n"], 1
+        frequency[units.end] = ends["n"]
 
     adjacent = materialize(neighbours(materialize(count_pairs(train, units), "unit-pairs")), "unit-neighbours")
-    classes, pairs = exchange(adjacent, frequency, k, rounds)
+    classes, pairs = exchange(adjacent, frequency, k)
+    words, pairs = exchange_rare(materialize(rare_histories(train, units, classes), "rare-histories"), units, classes, pairs)
+
+    class_tokens, class_types = pairs.sum(0), np.bincount(classes[:len(units.heads)], minlength=k).astype(float)
+    class_types[k - 1] += ends is not None
+    for r in words.groupBy("class").count().collect():
+        class_types[r["class"]] += r["count"]
+    better_known = words.where(n * max_known >= tokens).toPandas()       # max_known rows at most
+    ends_n = [ends["n"]] if ends is not None else []
+    known = np.concatenate([units.heads, better_known["word"].to_numpy(np.int64).view(np.uint64), np.full(len(ends_n), END)])
+    known_n = np.concatenate([frequency[:len(units.heads)], better_known["n"].to_numpy(np.int64), ends_n]).astype(np.int64)
+    known_class = np.concatenate([classes[:len(units.heads)], better_known["class"].to_numpy(np.int64),
+                                  np.full(len(ends_n), k - 1)]).astype(np.int64)
+    order = np.argsort(known)
+
     discount = total["once"] / max(1.0, total["once"] + 2.0 * total["twice"])
     discount = min(max(discount, 0.1), 0.9)
-    class_tokens, class_types = np.bincount(classes, frequency, k), np.bincount(classes, types, k)
     share = (class_tokens + 0.5) / (class_tokens.sum() + 0.5 * k)
     transitions = (pairs + TRANSITION_PRIOR * share) / (pairs.sum(1, keepdims=True) + TRANSITION_PRIOR)
     unknown = np.where(class_tokens > 0, discount * class_types / np.maximum(class_tokens, 1.0), 1.0)
-    return Model(units, classes, np.log10(transitions), class_tokens, np.log10(unknown), discount, known, known_n,
-                 int(tokens), int(total["types"]))
+    model = Model(units, classes, np.log10(transitions), class_tokens, np.log10(unknown), discount, known[order], known_n[order],
+                  known_class[order], int(tokens), int(total["types"]))
+    return model, words
 
 
 def add_by_text(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -275,13 +392,13 @@ def add_by_text(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def part_scores(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     """What a block of texts knows by itself: a row a text, and one row a block with its rare words.
 
-    ``rare`` lists a text's rare tokens as places in the block's ``words``.
+    ``rare`` lists a text's rare tokens as places in the block's ``words``, ``history`` the classes they follow.
     """
     source = _texts(docs, F.col(key).alias("key"), text=text)
     kind = source.schema["key"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = (f"block long, key {kind}, n_tokens long, n_known long, base double, score double, rare array<int>, "
-              "words array<long>, word_class array<int>")
+              "history array<int>, words array<long>, word_class array<int>")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,19 +409,20 @@ def part_scores(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame
             hashes = words.hashes().astype(np.uint64)
             unit = m.units.of(hashes, tail_groups(words.vocabulary))
             tokens, starts = m.units.sequence(words, unit)
-            classes = m.classes[tokens]
-            before = np.concatenate([[m.classes[m.units.end]], classes[:-1]])
+            before = np.concatenate([[m.classes[m.units.end]], m.classes[tokens][:-1]])
             n = np.zeros(len(hashes) + 1, np.int64)     # the end stands last
+            word_class = m.classes[np.append(unit, m.units.end)]
             asked = np.append(hashes, END)
             if len(m.known):
                 at = np.minimum(np.searchsorted(m.known, asked), len(m.known) - 1)
-                n = np.where(m.known[at] == asked, m.known_n[at], 0)
-            word_class = m.classes[np.append(unit, m.units.end)]
-            # rare words (0 here) are scored once their counts are known; the end is always scored here
+                found = m.known[at] == asked
+                n, word_class = np.where(found, m.known_n[at], 0), np.where(found, m.known_class[at], word_class)
+            # rare words (0 here) are scored once their counts and classes are known; the end is always scored here
             here = np.append(n[:-1] > 0, True)
             code = np.full(len(tokens), len(hashes))
             code[np.arange(len(words.codes)) + words.owner()] = words.codes
             base, emitted = np.where(here, m.base(n), 0.0), np.where(here, m.emission(n, word_class), 0.0)
+            steps = np.where(here[code], m.transitions[before, word_class[code]], 0.0)
             place = np.cumsum(~here) - 1
             open_tokens = ~here[code]
             ends = np.append(starts, len(tokens))
@@ -314,13 +432,14 @@ def part_scores(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame
                 pa.array(np.full(rows, block)), batch.column("key"), pa.array(np.diff(ends)),
                 pa.array(add_by_text((n > 0)[code].astype(np.int64), starts).astype(np.int64)),
                 pa.array(add_by_text(base[code], starts)),
-                pa.array(add_by_text(emitted[code] + m.transitions[before, classes], starts)),
+                pa.array(add_by_text(emitted[code] + steps, starts)),
                 pa.ListArray.from_arrays(pa.array(rare_ends.astype(np.int32)), rare),
+                pa.ListArray.from_arrays(pa.array(rare_ends.astype(np.int32)), pa.array(before[open_tokens].astype(np.int32))),
                 pa.nulls(rows, pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.int32()))], names)
             left = ~here[:-1]
             yield pa.RecordBatch.from_arrays([
                 pa.array([block]), pa.nulls(1, batch.column("key").type), *[pa.nulls(1, pa.int64())] * 2,
-                *[pa.nulls(1, pa.float64())] * 2, pa.nulls(1, pa.list_(pa.int32())),
+                *[pa.nulls(1, pa.float64())] * 2, *[pa.nulls(1, pa.list_(pa.int32()))] * 2,
                 pa.array([hashes[left].view(np.int64)], pa.list_(pa.int64())),
                 pa.array([word_class[:-1][left].astype(np.int32)], pa.list_(pa.int32()))], names)
 
@@ -328,16 +447,16 @@ def part_scores(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", k: int = CLASSES,
-          rounds: int = ROUNDS) -> DataFrame:
+          heads: int = HEADS, max_known: int = MAX_KNOWN) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row; ``train`` tells which rows teach."""
     taught = _texts(docs.where(train), text=text)
     counts = materialize(count_words(taught), "word-counts")
-    model = fit(taught, counts, k, rounds)
+    model, rare = fit(taught, counts, k, heads, max_known)
     parts = materialize(part_scores(docs, model, key, text), "part-scores")
-    rare = counts.where(F.col("n") * MAX_KNOWN < model.tokens).select("word", "n")
+    rare = rare.where(F.col("n") * max_known < model.tokens)
     asked = parts.where(F.col("words").isNotNull()).select("block", F.posexplode("words").alias("place", "word"))
     # a block's words are bounded by its text
-    found = asked.join(rare, "word").groupBy(F.col("block").alias("asker")).agg(F.collect_list(F.struct("place", "n")).alias("found"))
+    found = asked.join(rare, "word").groupBy(F.col("block").alias("asker")).agg(F.collect_list(F.struct("place", "n", "class")).alias("found"))
     kind = parts.schema["key"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -346,23 +465,27 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         block = block.combine_chunks()
         is_list = pc.is_valid(block.column("words"))
         listed, texts = block.filter(is_list), block.filter(pc.invert(is_list))
-        classes = listed.column("word_class")[0].values.to_numpy() if len(listed) else np.zeros(0, np.int32)
+        classes = listed.column("word_class")[0].values.to_numpy().copy() if len(listed) else np.zeros(0, np.int32)
         n = np.zeros(len(classes), np.int64)
         if len(found):
             pairs = found.column("found")[0].values
             n[pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
+            classes[pairs.field(0).to_numpy()] = pairs.field(2).to_numpy()
         rare = texts.column("rare").combine_chunks()
+        history = texts.column("history").combine_chunks().flatten().to_numpy()
         sizes = pc.list_value_length(rare).to_numpy(zero_copy_only=False)
         place, owner = rare.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
 
         def more(values: np.ndarray) -> np.ndarray:
             return np.bincount(owner, values[place], len(sizes))
 
+        steps = np.bincount(owner, m.transitions[history, classes[place]], len(sizes))
+
         return pa.table({
             "key": texts.column("key"), "n_tokens": texts.column("n_tokens"),
             "n_known": texts.column("n_known").to_numpy() + more(n > 0).astype(np.int64),
             "base_score": texts.column("base").to_numpy() + more(m.base(n)),
-            "score": texts.column("score").to_numpy() + more(m.emission(n, classes))})
+            "score": texts.column("score").to_numpy() + more(m.emission(n, classes)) + steps})
 
     done = parts.groupBy("block").cogroup(found.groupBy("asker")).applyInArrow(
         finish, f"key {kind}, n_tokens long, n_known long, base_score double, score double")

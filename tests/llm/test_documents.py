@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from needmatch.llm import class_model, components, jaccard_join, labels as labelled, mixing, quality_classifier, quality_rules, toxicity
@@ -358,7 +359,7 @@ def test_class_model(spark):
     rows = [(i, None if i == 3 else prose(i, i % 90, "de" if i % 3 else "en")) for i in range(400)]
     docs = spark.createDataFrame([*rows, (400, "Only New Wörds")], "doc_id long, text string")
     held = labelled.remainder("doc_id", 5) == 1
-    got = {r.doc_id: r for r in class_model.score(docs, ~held, k=8, rounds=6).collect()}
+    got = {r.doc_id: r for r in class_model.score(docs, ~held, k=8).collect()}
     tokens = {i: (t or "").encode().lower().split() + [b"\n"] for i, t in [*rows, (400, "Only New Wörds")]}
     taught = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
     counts = Counter(t for i in taught for t in tokens[i])
@@ -374,22 +375,77 @@ def test_class_model(spark):
 def test_class_model_sums_to_one(spark):
     docs = spark.createDataFrame([(i, prose(i, 50)) for i in range(80)], "doc_id long, text string")
     counts = class_model.materialize(class_model.count_words(docs.select("text")), "counts")
-    m = class_model.fit(docs.select("text"), counts, k=6, rounds=4)
+    m, rare = class_model.fit(docs.select("text"), counts, k=6, heads=60)
+    assert 0 < len(m.units.heads) < 60 and rare.where("n >= 3").count() > 50
     assert np.allclose((10 ** m.transitions).sum(1), 1)
     rows = counts.toPandas()
     hashes = rows["word"].to_numpy(np.int64).view(np.uint64)
-    unit = np.where(hashes == class_model.END, m.units.end, m.units.of(hashes, rows["tail"].to_numpy()))
-    n, classes = rows["n"].to_numpy(), m.classes[unit]
+    at = np.searchsorted(m.known, hashes)
+    n, classes = rows["n"].to_numpy(), m.known_class[at]
+    assert (m.known[at] == hashes).all() and (m.known_n[at] == n).all()
+    assert np.allclose(m.class_tokens, np.bincount(classes, n, 6))
     for c in set(classes.tolist()):
         inside = classes == c
         mass = (10 ** m.emission(n[inside], classes[inside])).sum() + 10 ** m.unknown[c]
         assert mass == pytest.approx(1)
 
 
+def test_class_model_best_classes():
+    """The best class of a word is the one with the largest likelihood of all counts, by trying each."""
+    rng = np.random.default_rng(5)
+    k = 5
+    tables = [rng.integers(0, 9, k) for _ in range(12)]
+    tables = [t + (t.sum() == 0) for t in tables]
+    own = rng.integers(0, k - 1, len(tables))
+    counts = rng.integers(20, 60, (k, k)).astype(float)
+    for t, c in zip(tables, own):
+        counts[:, c] += t
+    cells = [(i, h, n) for i, t in enumerate(tables) for h, n in enumerate(t) if n]
+    row, h, n = (np.array(x) for x in zip(*cells))
+    got = class_model.best_classes(row, h, n.astype(float), own, counts)
+    for i, (t, c) in enumerate(zip(tables, own)):
+        tried = []
+        for d in range(k - 1):
+            other = counts.copy()
+            other[:, c] -= t
+            other[:, d] += t
+            tried.append(class_model.likelihood(other))
+        assert tried[got[i]] == pytest.approx(max(tried), abs=1e-5)
+
+
+def test_class_model_rare_words(spark):
+    """Scores by hand from the classes found, with words that are known to tasks and words that are asked for."""
+    texts = {i: prose(i, 40, "de" if i % 2 else "en") for i in range(60)}
+    docs = spark.createDataFrame([*texts.items(), (60, "Only New Wörds")], "doc_id long, text string")
+    train = F.col("doc_id") < 50
+    taught = docs.where(train).select("text")
+    counts = class_model.materialize(class_model.count_words(taught), "counts")
+    m, rare = class_model.fit(taught, counts, k=6, heads=60, max_known=400)
+    own = {r["word"]: r for r in rare.collect()}
+    heads = {int(w.view(np.int64)): i for i, w in enumerate(m.units.heads)}
+    assert any(r["n"] * 400 < m.tokens for r in own.values()) and any(r["n"] * 400 >= m.tokens for r in own.values())
+    counted = {r["word"]: r["n"] for r in counts.collect()}
+    once = {i: r for i, r in own.items() if r["n"] < class_model.MIN_COUNT}
+    got = {r.doc_id: r.score for r in class_model.score(docs, train, k=6, heads=60, max_known=400).collect()}
+    for i, text in [*texts.items(), (60, "only new wörds")]:
+        before, total = m.classes[m.units.end], 0.0
+        for w in text.lower().split():
+            h = int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64))
+            tail = len(heads) + zlib.crc32(w[-2:].encode()) % class_model.TAILS
+            unit = m.classes[heads.get(h, tail)]
+            c = own[h]["class"] if h in own else unit
+            assert h not in once or c == unit
+            total += m.transitions[before, c] + m.emission(np.array([counted.get(h, 0)]), np.array([c]))[0]
+            before = unit
+        end = m.classes[m.units.end]
+        total += m.transitions[before, end] + m.emission(np.array([50]), np.array([end]))[0]
+        assert got[i] == pytest.approx(total)
+
+
 def test_class_model_odd(odd, bare):
     train = labelled.remainder("doc_id", 5) != 1
-    got = class_model.score(odd, train, k=4, rounds=2).collect()
+    got = class_model.score(odd, train, k=4).collect()
     assert len(got) == odd.count() and all(r.score <= 0 for r in got)
-    assert class_model.score(bare, train, k=4, rounds=2).count() == 0
-    none = class_model.score(odd, F.lit(False), k=4, rounds=2).collect()
+    assert class_model.score(bare, train, k=4).count() == 0
+    none = class_model.score(odd, F.lit(False), k=4).collect()
     assert {r.n_known for r in none} == {0}
