@@ -122,44 +122,57 @@ def m10(spark, d):
     return mt.label_filter(fx(spark, d, "fx_requests"), status_code=("=~", "4..|5.."), method=("!=", "GET"), path=("!~", "/api/p.*")).select("request_id")
 
 
-RULES = {k: v for k, v in C.ALERT_RULES.items() if v[0] in ("error_ratio", "request_p95", "auth_failure_ratio", "publish_p95", "query_p95")}
+SAMPLES = """
+SELECT 'registered_agents' AS series, concat('p', user_id % 2) AS label, event_id AS id, ts, CAST(CASE WHEN event_id % 7 < 6 THEN 0 ELSE 1 + user_id % 5 END AS DOUBLE) AS value
+FROM events
+UNION ALL SELECT 'memory_bytes', concat('i', user_id % 3), event_id, ts, CAST(2147483648 + (event_id % 5 - 1) * 1000000 AS DOUBLE) FROM events
+UNION ALL SELECT 'up', concat('i', user_id % 3), event_id, ts, CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS DOUBLE) FROM events"""
 
 
 def series(spark, d):
-    g = mt.on_grid(seconds(spark, d).withColumn("failed_auth", ~F.coalesce(F.col("raw_key").startswith("ck_"), F.lit(False))), "ts")
-    share = lambda name, bad: mt.ratio(g, bad, F.lit(True), ["grid"]).select(F.lit(name).alias("series"), "grid", F.col("ratio").alias("value"))
-
-    def p95(name, rows):
-        q = mt.histogram_quantile(mt.histogram(rows, "seconds", ["grid"]), ["grid"], 0.95)
-        return q.select(F.lit(name).alias("series"), "grid", F.col("quantile").alias("value"))
-    return reduce(DataFrame.unionByName, [
-        share("error_ratio", F.col("status_code") >= 500), share("auth_failure_ratio", F.col("failed_auth")),
-        p95("request_p95", g), p95("publish_p95", g.filter("path = '/api/publish'")), p95("query_p95", g.filter("path LIKE '%/query'"))])
-
-
-def p95_sql(name, where):
-    h = hist_sql(f"(SELECT * FROM gr WHERE {where})", "grid", "seconds").split("hh AS ")[1].replace("FROM (SELECT", "FROM (SELECT")
+    """All series of the rules; a GET request also stands for an increase of the counter of rate limits, one with status 500 for denials.
+    Durations are stretched so that some last longer than the highest threshold."""
+    r = fx(spark, d, "fx_requests").withColumn("seconds", F.col("duration_ms") / 25)
+    status, path, sec = F.col("status_code"), F.col("path"), F.col("seconds")
+    shares = {"error_ratio": status >= 500, "auth_failure_ratio": ~F.coalesce(F.col("raw_key").startswith("ck_"), F.lit(False))}
+    rates = {"rate_limited_per_s": F.when(F.col("method") == "GET", F.col("request_id") % 9001), "rbac_denials_per_s": F.when(status == 500, F.col("request_id") % 4001)}
+    p95 = {"request_p95": (sec, F.lit(True), C.HTTP_BOUNDS), "publish_p95": (sec, path == "/api/publish", C.HISTOGRAM_BOUNDS),
+           "query_p95": (sec, path.endswith("/query"), C.HISTOGRAM_BOUNDS)}
+    gauges = spark.sql(SAMPLES.replace("FROM events", f"FROM parquet.`{d}/events.parquet`"))
+    return mt.request_series(r, "ts", shares, rates, p95).unionByName(
+        mt.gauge_series(gauges, "ts", "id", {"registered_agents": "sum", "memory_bytes": "max", "up": "min"}))
+
+
+def p95_sql(name, where, bounds="hb"):
+    h = hist_sql(f"(SELECT * FROM gr WHERE {where})", "grid", "seconds").split("hh AS ")[1].replace(", hb GROUP", f", {bounds} GROUP")
     return f"""{name}_h AS {h},
 {name}_l AS (SELECT *, coalesce(lag(le) OVER w, 0.0) AS lo, coalesce(lag(bucket) OVER w, 0) AS below, 0.95::DOUBLE * count AS rk FROM {name}_h WINDOW w AS (PARTITION BY grid ORDER BY le)),
 {name} AS (SELECT '{name}' AS series, grid, arg_min(CASE WHEN isinf(le) THEN lo WHEN bucket = below THEN le ELSE lo + (le - lo) * ((rk - below) / (bucket - below)) END, le) AS value
   FROM {name}_l WHERE bucket >= rk GROUP BY grid)"""
 
 
+HX = "hx(le) AS (VALUES " + ", ".join(f"({x}::DOUBLE)" for x in C.HTTP_BOUNDS) + ", ('inf'::DOUBLE))"
 HB = "hb(le) AS (VALUES " + ", ".join(f"({x}::DOUBLE)" for x in C.HISTOGRAM_BOUNDS) + ", ('inf'::DOUBLE))"
 ALERT_SQL = f"""
-WITH gr AS (SELECT *, duration_ms / 100 AS seconds, CAST(ceil(epoch_us(ts) / 30000000.0::DOUBLE) AS BIGINT) * 30 + 30 * s AS grid FROM fx_requests, range(10) r(s)),
-{HB}, {p95_sql('request_p95', 'true')}, {p95_sql('publish_p95', "path = '/api/publish'")}, {p95_sql('query_p95', "path LIKE '%/query'")},
+WITH gr AS (SELECT *, duration_ms / 25 AS seconds, CAST(ceil(epoch_us(ts) / 30000000.0::DOUBLE) AS BIGINT) * 30 + 30 * s AS grid FROM fx_requests, range(10) r(s)),
+sa AS ({SAMPLES}),
+ga AS (SELECT *, CAST(ceil(epoch_us(ts) / 30000000.0::DOUBLE) AS BIGINT) * 30 + 30 * s AS grid FROM sa, range(10) r(s)
+  QUALIFY row_number() OVER (PARTITION BY series, label, grid ORDER BY ts DESC, id DESC) = 1),
+{HB}, {HX}, {p95_sql('request_p95', 'true', 'hx')}, {p95_sql('publish_p95', "path = '/api/publish'")}, {p95_sql('query_p95', "path LIKE '%/query'")},
 se AS (SELECT 'error_ratio' AS series, grid, count(*) FILTER (status_code >= 500) / count(*) AS value FROM gr GROUP BY 2
   UNION ALL SELECT 'auth_failure_ratio', grid, count(*) FILTER (NOT coalesce(starts_with(raw_key, 'ck_'), false)) / count(*) FROM gr GROUP BY 2
-  UNION ALL SELECT * FROM request_p95 UNION ALL SELECT * FROM publish_p95 UNION ALL SELECT * FROM query_p95),
-ru(alert, series, threshold, hold, severity) AS (VALUES {', '.join(f"('{k}', '{v[0]}', {v[2]}::DOUBLE, {v[3]}, '{v[4]}')" for k, v in RULES.items())}),
-hi AS (SELECT alert, severity, hold, grid, value, grid / 30 - row_number() OVER (PARTITION BY alert ORDER BY grid) AS i FROM se JOIN ru ON ru.series = se.series WHERE value > threshold)
+  UNION ALL SELECT 'rate_limited_per_s', grid, coalesce(sum(request_id % 9001) FILTER (method = 'GET'), 0) / 300.0::DOUBLE FROM gr GROUP BY 2
+  UNION ALL SELECT 'rbac_denials_per_s', grid, coalesce(sum(request_id % 4001) FILTER (status_code = 500), 0) / 300.0::DOUBLE FROM gr GROUP BY 2
+  UNION ALL SELECT * FROM request_p95 UNION ALL SELECT * FROM publish_p95 UNION ALL SELECT * FROM query_p95
+  UNION ALL SELECT series, grid, CASE series WHEN 'registered_agents' THEN sum(value) WHEN 'up' THEN min(value) ELSE max(value) END FROM ga GROUP BY 1, 2),
+ru(alert, series, op, threshold, hold, severity) AS (VALUES {', '.join(f"('{k}', '{v[0]}', '{v[1]}', {v[2]}::DOUBLE, {v[3]}, '{v[4]}')" for k, v in C.ALERT_RULES.items())}),
+hi AS (SELECT alert, severity, hold, grid, value, grid / 30 - row_number() OVER (PARTITION BY alert ORDER BY grid) AS i FROM se JOIN ru ON ru.series = se.series WHERE CASE op WHEN '>' THEN value > threshold ELSE value = threshold END)
 SELECT alert, severity, min(grid) AS started, min(grid) + hold AS fires_at, max(grid) AS ended, round(max(value), 6) AS peak FROM hi GROUP BY alert, severity, hold, i HAVING max(grid) - min(grid) >= hold"""
 
 
 @query("m11_alerts", ALERT_SQL)
 def m11(spark, d):
-    return mt.alerts(series(spark, d), RULES).withColumn("peak", F.round("peak", 6))
+    return mt.alerts(series(spark, d)).withColumn("peak", F.round("peak", 6))
 
 
 PATHS = """

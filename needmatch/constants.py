@@ -149,6 +149,8 @@ EVENT_CATALOG = [
 
 # ---- Fixed values: metrics
 HISTOGRAM_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
+# durations of HTTP requests have one bucket more
+HTTP_BOUNDS = [*HISTOGRAM_BOUNDS, 10.0]
 ID_SEGMENT_PREFIXES = ["proj-", "agent-", "user-", "key-", "req-", "sess-"]
 ALERT_GRID_SECONDS = 30
 RATE_RANGE_SECONDS = 300

@@ -100,13 +100,62 @@ def label_filter(df: DataFrame, **matchers: tuple[str, str]) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- alerts
-def on_grid(df: DataFrame, at: str, grid_seconds: int = C.ALERT_GRID_SECONDS,
-            range_seconds: int = C.RATE_RANGE_SECONDS) -> DataFrame:
-    """Add ``grid``: every evaluation time (epoch seconds) whose trailing range (t - range, t] holds the
-    row; range/grid copies per row."""
-    first = F.ceil(F.unix_micros(F.col(at).cast("timestamp")) / F.lit(grid_seconds * 1_000_000.0)).cast("bigint")
-    steps = F.sequence(F.lit(0), F.lit(range_seconds // grid_seconds - 1))
-    return df.withColumn("grid", F.explode(F.transform(steps, lambda s: (first + s) * grid_seconds)))
+def pane(at: str, grid_seconds: int = C.ALERT_GRID_SECONDS) -> Column:
+    """The evaluation time (epoch seconds) that ends the pane of a row: (t - grid, t]."""
+    return F.ceil(F.unix_micros(F.col(at).cast("timestamp")) / F.lit(grid_seconds * 1_000_000.0)).cast("bigint") * grid_seconds
+
+
+def on_grid(panes: DataFrame, grid_seconds: int = C.ALERT_GRID_SECONDS, range_seconds: int = C.RATE_RANGE_SECONDS) -> DataFrame:
+    """Add ``grid``: every evaluation time whose trailing range (t - range, t] holds the pane. Panes are copied
+    range/grid times, never rows of data."""
+    steps = F.sequence(F.lit(0), F.lit(range_seconds - grid_seconds), F.lit(grid_seconds))
+    return panes.withColumn("grid", F.explode(F.transform(steps, lambda s: F.col("pane") + s)))
+
+
+def bucket_quantile(q: float, buckets: Sequence[Column], count: Column, bounds: Sequence[float]) -> Column:
+    """``histogram_quantile`` of cumulative buckets that stand in columns of one row."""
+    rank, found = F.lit(float(q)) * count, F.when(count == 0, None)
+    lows, belows = [0.0, *bounds], [F.lit(0), *buckets]
+    for low, high, below, bucket in zip(lows, bounds, belows, buckets):
+        found = found.when(bucket >= rank, F.lit(low) + F.lit(high - low) * ((rank - below) / (bucket - below).cast("double")))
+    return found.otherwise(F.lit(float(bounds[-1])))
+
+
+def request_series(df: DataFrame, at: str, shares: dict[str, Column], rates: dict[str, Column],
+                   quantiles: dict[str, tuple[Column, Column, Sequence[float]]], q: float = 0.95, grid_seconds: int = C.ALERT_GRID_SECONDS,
+                   range_seconds: int = C.RATE_RANGE_SECONDS) -> DataFrame:
+    """(series, grid, value) over trailing ranges, all from one scan: rows are counted once into panes, and panes add up.
+
+    ``shares``: part of the rows where a condition holds; ``rates``: sum of a column per second; ``quantiles``: of a
+    value over the rows where a condition holds, from its histogram with these bounds.
+    """
+    sums = {"n": F.count(F.lit(1))}
+    sums |= {f"s_{k}": F.count_if(c) for k, c in shares.items()} | {f"r_{k}": F.sum(c) for k, c in rates.items()}
+    for k, (value, where, bounds) in quantiles.items():
+        sums |= {f"q_{k}_{i}": F.count_if(where & (value <= b)) for i, b in enumerate(bounds)}
+        sums[f"q_{k}_all"] = F.count_if(where & value.isNotNull())
+    panes = df.groupBy(pane(at, grid_seconds).alias("pane")).agg(*[c.alias(k) for k, c in sums.items()])
+    wide = on_grid(panes, grid_seconds, range_seconds).groupBy("grid").agg(*[F.sum(k).alias(k) for k in sums])
+    values = {k: F.col(f"s_{k}") / F.col("n") for k in shares}
+    values |= {k: F.coalesce(F.col(f"r_{k}"), F.lit(0)) / F.lit(float(range_seconds)) for k in rates}
+    for k, (_, _, bounds) in quantiles.items():
+        values[k] = bucket_quantile(q, [F.col(f"q_{k}_{i}") for i in range(len(bounds))], F.col(f"q_{k}_all"), bounds)
+    rows = F.array(*[F.struct(F.lit(k).alias("series"), v.cast("double").alias("value")) for k, v in values.items()])
+    return wide.select("grid", F.inline(rows)).where("value IS NOT NULL").select("series", "grid", "value")
+
+
+def gauge_series(samples: DataFrame, at: str, tie: str, combine: dict[str, str], grid_seconds: int = C.ALERT_GRID_SECONDS,
+                 range_seconds: int = C.RATE_RANGE_SECONDS) -> DataFrame:
+    """(series, grid, value) of gauge samples (series, label, value): at each evaluation time the last value of every label
+    not older than the range, combined over the labels by ``combine[series]`` (sum, max or min)."""
+    panes = samples.groupBy("series", "label", pane(at, grid_seconds).alias("pane")).agg(
+        F.max_by("value", F.struct(at, tie)).alias("last"))
+    last = on_grid(panes, grid_seconds, range_seconds).groupBy("series", "label", "grid").agg(F.max_by("last", "pane").alias("value"))
+    how = {"sum": F.sum, "max": F.max, "min": F.min}
+    name, value = F.col("series"), F.lit(None).cast("double")
+    for k, c in combine.items():
+        value = F.when(F.first(name) == k, how[c](F.col("value").cast("double"))).otherwise(value)
+    return last.where(name.isin(*combine)).groupBy("series", "grid").agg(value.alias("value"))
 
 
 def alerts(series: DataFrame, rules: dict[str, tuple] = C.ALERT_RULES, grid_seconds: int = C.ALERT_GRID_SECONDS) -> DataFrame:
