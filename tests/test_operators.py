@@ -300,3 +300,16 @@ def test_every_alert_rule_fires(spark):
     registry.load_all()
     fired = registry.QUERIES["m11_alerts"](spark, "/root/testdata/sf0.01").select("alert").distinct().collect()
     assert {r["alert"] for r in fired} == set(C.ALERT_RULES)
+
+
+def test_envelope_carries_data(spark):
+    import json
+    matches = spark.createDataFrame([("a", "n2", 2, 7, 0.5), ("a", "n2", 1, 8, 0.9), ("a", "n1", 1, 7, 0.4)],
+                                    "agent_id string, need string, rank int, vec_id long, similarity double")
+    data = spark.createDataFrame([(7, "k", '{"x": [1, "\\u00e9"]}', None)], "vec_id long, data_key string, j string, description string")
+    rows = cx.context_envelope(cx.with_data(matches, data.withColumn("data", F.parse_json("j")))).collect()
+    assert len(rows) == 1 and json.loads(rows[0].payload) == {
+        "type": "initial_context", "agent_id": "a", "format": "json", "context": {
+            "n1": [{"data_key": "k", "similarity": 0.4, "data": {"x": [1, "é"]}, "description": None}],
+            "n2": [{"data_key": None, "similarity": 0.9, "data": None, "description": None},
+                   {"data_key": "k", "similarity": 0.5, "data": {"x": [1, "é"]}, "description": None}]}}
