@@ -313,3 +313,18 @@ def test_envelope_carries_data(spark):
             "n1": [{"data_key": "k", "similarity": 0.4, "data": {"x": [1, "é"]}, "description": None}],
             "n2": [{"data_key": None, "similarity": 0.9, "data": None, "description": None},
                    {"data_key": "k", "similarity": 0.5, "data": {"x": [1, "é"]}, "description": None}]}}
+
+
+def test_outbox_message(spark):
+    import json
+    events = spark.sql("""SELECT 7 AS event_id, timestamp_ntz'2024-01-02 03:04:05.5' AS ts, 'p' AS project_id, 't' AS tenant_id, '{"b": 1, "a": null}' AS props,
+                          'data.updated' AS event_type, 'data' AS category""")
+    ends = spark.sql("SELECT 'e' AS endpoint_id, true AS is_active, string(null) AS tenant_id, 'key' AS secret, array() AS events, array() AS categories, array() AS project_ids")
+    ends = ends.select("endpoint_id", "is_active", "tenant_id", "secret", *[F.col(c).cast("array<string>").alias(c) for c in ("events", "categories", "project_ids")])
+    row, again = wh.outbox(events, ends).first(), wh.outbox(events, ends, attempt=2).first()
+    assert json.loads(row.payload) == {"data": {"b": 1, "a": None}, "event_id": 7, "event_type": "data.updated", "project_id": "p",
+                                       "tenant_id": "t", "timestamp": "2024-01-02T03:04:05.500000Z"}
+    signed = hmac.new(b"key", row.payload.encode(), hashlib.sha256).hexdigest()
+    assert json.loads(row.headers) == {"Content-Type": "application/json", "X-Webhook-Event": "data.updated", "X-Webhook-Signature": f"sha256={signed}",
+                                       "X-Webhook-Timestamp": "2024-01-02T03:04:05.500000Z", "X-Webhook-Delivery-ID": row.delivery_id}
+    assert len(row.delivery_id) == 36 and row.delivery_id != again.delivery_id and again.payload == row.payload
