@@ -37,12 +37,14 @@ class IntervalIndex:
     levels: int
 
     def stab(self, targets: DataFrame, target_id: str, at: str) -> DataFrame:
-        """(scope, target_id, key, id) of the intervals of the target's scope that hold its point (a bigint)."""
+        """(scope, target_id, key, id) of the intervals of the target's scope that hold its point (a bigint).
+
+        Targets become a row a level, which the size of their scan doesn't show: neither side is fit for a broadcast."""
         point = F.least(F.col(at).cast("long") - self.low, F.lit((1 << self.levels) - 1).cast("long"))
         levels = F.explode(F.sequence(F.lit(0), F.lit(self.levels))).alias("_level")
         asked = (targets.where(F.col(at) >= self.low).select(*[F.col(c).alias(c) for c in self.scope], target_id, point.alias("_point"), levels)
                  .withColumn("_piece", F.expr("shiftright(_point, _level)")).drop("_point"))
-        return asked.join(self.pieces, [*self.scope, "_level", "_piece"]).drop("_level", "_piece")
+        return asked.join(self.pieces.hint("merge"), [*self.scope, "_level", "_piece"]).drop("_level", "_piece")
 
 
 def interval_index(rows: DataFrame, scope: list[str], keys: list[str], at: str, order: list[str], keep: list[str],

@@ -90,3 +90,16 @@ def test_empty(spark):
     log = spark.createDataFrame([], LOG)
     asked = spark.createDataFrame([("p0", 1, 100)], "project_id string, target_id int, at long")
     assert ev.state_as_of(log, asked, "target_id", "at").count() == 0
+
+
+def test_no_side_of_time_travel_is_broadcast(spark):
+    """Exploded targets and encoded logs look small to the planner; the driver must not collect them."""
+    rows = log_rows(5, 200)
+    log = spark.createDataFrame(rows, LOG)
+    targets = spark.createDataFrame([(f"p{i % 3}", i, i * 7) for i in range(30)], "project_id string, target_id long, at long")
+    points = targets.select("project_id", targets["at"].alias("snapshot_sequence"), targets["at"].alias("_at")).distinct()
+    entries = ev.state_as_of(log, points, "snapshot_sequence", "_at")
+    snaps = points.select("project_id", points["_at"].alias("sequence"))
+    for df in (ev.state_as_of(log, targets, "target_id", "at"), ev.state_from_snapshot(log, entries, snaps, targets, "target_id", "at")):
+        joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+        assert not [line for line in joins if "_carry" not in line and "_slice" not in line], joins
