@@ -102,3 +102,17 @@ def test_no_rows(spark):
     assert se.vector_topk(queries, none, ["project_id"], "query_id", "vec_id", 3, 0.1).count() == 0
     assert se.vector_topk_ann(queries, none, ["project_id"], "query_id", "vec_id", 3).count() == 0
     assert se.vector_topk(queries.where("false"), nodes, ["project_id"], "query_id", "vec_id", 3, 0.1, pruned=True).count() == 0
+
+
+@pytest.mark.parametrize(("spread", "pruned"), [(0.05, True), (50.0, False)])
+def test_vectors_equally_far_are_scored_in_whole_blocks(spark, spread, pruned):
+    """Bounds that rule out next to nothing don't send a vector to each block one by one; the rows stay exact."""
+    nodes = frame(spark, clustered(8, 2000, d=32, spread=spread)).cache()
+    queries = nodes.where("vec_id % 40 = 3").withColumnRenamed("vec_id", "query_id")
+    q = se._limits(queries, 5, -1.0)
+    found, pairs = se._pruned(q, nodes, ["project_id"], "query_id", "vec_id", "embedding", "embedding", 5, block_rows=40, cells=16)
+    blocks = pairs.groupBy("project_id", "_qid").count().agg(F.avg("count")).first()[0]
+    assert (blocks < 10) == pruned
+    want = exact(nodes.collect(), nodes.where("vec_id % 40 = 3").collect(), 5, -1.0)
+    got = sorted((r.project_id, r.query_id, r.vec_id, r["rank"]) for r in found.collect())
+    assert got == [(w[0], w[1], w[2], w[4]) for w in want]
