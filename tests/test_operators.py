@@ -328,3 +328,19 @@ def test_outbox_message(spark):
     assert json.loads(row.headers) == {"Content-Type": "application/json", "X-Webhook-Event": "data.updated", "X-Webhook-Signature": f"sha256={signed}",
                                        "X-Webhook-Timestamp": "2024-01-02T03:04:05.500000Z", "X-Webhook-Delivery-ID": row.delivery_id}
     assert len(row.delivery_id) == 36 and row.delivery_id != again.delivery_id and again.payload == row.payload
+
+
+def test_count_since_is_the_length_of_the_page(spark):
+    log = make_log(spark, 30, "a").unionByName(make_log(spark, 7, "b"))
+    cursors = spark.createDataFrame([("a", "x", "12-0"), ("a", "y", "25"), ("a", "z", "30"), ("b", "v", "5"), ("c", "w", "0")],
+                                    "project_id string, agent_id string, since string")
+    pages = {r["agent_id"]: r["n"] for r in ev.events_since(log, cursors, "agent_id", "since", 10).groupBy("agent_id").agg(F.count("*").alias("n")).collect()}
+    got = ev.count_since(log, cursors, "agent_id", "since", 10)
+    assert {r["agent_id"]: r["n"] for r in got.collect() if r["n"]} == pages == {"x": 10, "y": 5, "v": 2}
+
+
+def test_envelope_shuffles_data_once(spark):
+    m = spark.sql("SELECT concat('a', id % 3) AS agent_id, concat('a', id % 3, '#', id % 2) AS need, id DIV 6 AS rank, "
+                  "concat('k', id) AS data_key, 0.5 AS similarity, 'x' AS data, 'd' AS description FROM range(24)").repartition(3)
+    plan = cx.context_envelope(m)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
