@@ -344,3 +344,13 @@ def test_envelope_shuffles_data_once(spark):
                   "concat('k', id) AS data_key, 0.5 AS similarity, 'x' AS data, 'd' AS description FROM range(24)").repartition(3)
     plan = cx.context_envelope(m)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_index_of_asked_terms_and_stats_without_an_index(spark):
+    docs = spark.createDataFrame([(1, "a b a", "x"), (2, "", ""), (3, None, "x y"), (4, "c", None)], "doc_id long, content string, metadata string")
+    whole = se.bm25_index(docs, "doc_id", ["content", "metadata"])
+    some = se.bm25_index(docs, "doc_id", ["content", "metadata"], spark.createDataFrame([("a",), ("a",), ("y",), ("q",)], "term string"))
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.where("term IN ('a', 'y')").collect()))
+    stats = se.field_stats(docs, ["content", "metadata"])
+    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, se.bm25_stats(whole, docs).collect()))
+    assert "Exchange hashpartitioning" not in stats._jdf.queryExecution().executedPlan().toString()
