@@ -195,11 +195,13 @@ def rate_pressure(requests: DataFrame, key: str, request_id: str, at: str,
     """All requests of the key in the trailing window of each request.
 
     Time is cut into window-long slices; a row is counted in its slice and serves as history for
-    the next one, so a busy key spreads over as many tasks as it has slices."""
+    the next one, so a busy key spreads over as many tasks as it has slices. The window's rows are those up to the request
+    less those before the window: two growing frames, whose work doesn't depend on how many rows a window holds."""
     width = window_seconds * 1_000_000
     rows = requests.select(F.col(key).alias("rate_key"), F.col(request_id).alias("request_id"), micros(at).alias("_at"))
     own = rows.withColumn("_own", F.floor(F.col("_at") / width).cast("bigint"))
     spread = own.withColumn("_slice", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    w = Window.partitionBy("rate_key", "_slice").orderBy("_at").rangeBetween(-width, 0)
-    return (spread.withColumn("in_window", F.count(F.lit(1)).over(w)).filter(F.col("_slice") == F.col("_own"))
+    along = Window.partitionBy("rate_key", "_slice").orderBy("_at")
+    upto = lambda end: F.count(F.lit(1)).over(along.rangeBetween(Window.unboundedPreceding, end))
+    return (spread.withColumn("in_window", upto(0) - upto(-width - 1)).filter(F.col("_slice") == F.col("_own"))
             .select("rate_key", "request_id", "in_window"))

@@ -168,3 +168,13 @@ def test_brackets_are_narrowed_to_exact_ranks(spark, kind):
         assert (r.n, r["first"], r.low, r.mid, r.high, r.over) == (n, own[0], own[n // 100 - 1], own[n // 2 - 1], own[n - 4], None)
     wide = [r.k for r in sk.order_statistics(df, ["k"], "x", {"mid": F.floor(F.col("n") / 2)}, 1).collect()]
     assert sorted(wide) == ["few", "hot", "one"]
+
+
+def test_rate_pressure_counts_by_growing_frames(spark):
+    """A sliding frame is summed again for each row; growing frames are not."""
+    df = spark.sql("SELECT 'u' AS k, id AS i, timestamp_micros(id * 7000 % 90000000) AS ts FROM range(3000)")
+    pressure = ac.rate_pressure(df, "k", "i", "ts", 60)
+    assert "RangeFrame, -" not in pressure._jdf.queryExecution().executedPlan().toString()
+    at = {i: i * 7000 % 90000000 for i in range(3000)}
+    got = {r["request_id"]: r["in_window"] for r in pressure.collect()}
+    assert all(got[i] == sum(t - 60_000_000 <= x <= t for x in at.values()) for i, t in at.items() if i % 50 == 0) and len(got) == 3000
