@@ -116,3 +116,12 @@ def test_vectors_equally_far_are_scored_in_whole_blocks(spark, spread, pruned):
     want = exact(nodes.collect(), nodes.where("vec_id % 40 = 3").collect(), 5, -1.0)
     got = sorted((r.project_id, r.query_id, r.vec_id, r["rank"]) for r in found.collect())
     assert got == [(w[0], w[1], w[2], w[4]) for w in want]
+
+
+def test_codes_find_neighbours_that_are_equally_far(spark):
+    x = np.random.default_rng(9).normal(size=(2500, 64))
+    nodes = spark.createDataFrame([("all", i, v.tolist()) for i, v in enumerate(x)], DDL).cache()
+    queries = nodes.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    best = se.vector_topk(queries, nodes, ["project_id"], "query_id", "vec_id", 10, -1.0)
+    r = se.ann_recall(se.vector_topk_ann(queries, nodes, ["project_id"], "query_id", "vec_id", 10), best, ["project_id"], "query_id", "vec_id").first()
+    assert r.wanted == 500 and r.recalled >= 0.95 * r.wanted
