@@ -20,7 +20,7 @@ def order_docs(spark, d):
     deep = F.struct(F.col("o_orderkey").alias("doc"))
     for level in range(DEEP_LEVELS, 0, -1):
         deep = F.struct(deep.alias(f"l{level}"))
-    items = (read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
+    items = (read_table(spark, d, "lineitem").repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("qty")))).alias("l")))
     return (read_table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
             .select(F.col("o_orderkey").alias("doc_id"), F.to_json(F.struct(
@@ -42,7 +42,7 @@ n AS (SELECT DISTINCT o_orderkey AS doc_id, 'order' AS path, 'object' AS node_ty
 
 @query("n1_json_nodes", f"WITH {ORDER_NODES} SELECT doc_id, path, node_type, content FROM n")
 def n1(spark, d):
-    return nd.json_nodes(order_docs(spark, d), "doc_id", "json").select("doc_id", "path", "node_type", "content")
+    return nd.json_nodes(order_docs(spark, d), "doc_id", "json", ["path", "content", "node_type"]).select("doc_id", "path", "node_type", "content")
 
 
 @query("s10_flatten_deep", f"""
@@ -128,7 +128,7 @@ SELECT doc_id, path, CASE WHEN path = 'order' THEN 'order | key: ' || json_extra
   WHEN path = '{DEEP}' THEN '{DEEP.replace(".", " ")} | doc: ' || json_extract_string(content, '$.doc')
   ELSE 'items | part: ' || json_extract_string(content, '$.part') || ' | qty: ' || json_extract_string(content, '$.qty') END AS text FROM n""")
 def n8(spark, d):
-    nodes = nd.json_nodes(order_docs(spark, d), "doc_id", "json")
+    nodes = nd.json_nodes(order_docs(spark, d), "doc_id", "json", ["path", "content", "node_type"])
     return nodes.select("doc_id", "path", nd.node_text("path", "content", "node_type").alias("text"))
 
 
@@ -177,10 +177,10 @@ WITH {ORDER_NODES}
 SELECT doc_id, '{{' || string_agg('"' || path || '":' || content, ',' ORDER BY CASE WHEN path = 'order' THEN -1 WHEN path = '{DEEP}' THEN 1000000
   ELSE CAST(regexp_extract(path, '\\d+') AS BIGINT) END) || '}}' AS json FROM n GROUP BY 1""")
 def n11(spark, d):
-    return nd.reassemble_json(nd.json_nodes(order_docs(spark, d), "doc_id", "json"), "doc_id")
+    return nd.reassemble_json(nd.json_nodes(order_docs(spark, d), "doc_id", "json", ["ord", "path", "content"]), "doc_id")
 
 
 @query("n11_round_trip", f"WITH {ORDER_NODES} SELECT doc_id, path, content FROM n")
 def n11b(spark, d):
-    docs = nd.reassemble_json(nd.json_nodes(order_docs(spark, d), "doc_id", "json"), "doc_id")
+    docs = nd.reassemble_json(nd.json_nodes(order_docs(spark, d), "doc_id", "json", ["ord", "path", "content"]), "doc_id")
     return nd.explode_json(docs, "doc_id")

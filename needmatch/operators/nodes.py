@@ -6,6 +6,8 @@ document; JSON documents are walked whole, in Arrow batches.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as C
@@ -16,9 +18,11 @@ from .ingest import csv_rows, csv_tables, last_index
 MARK = "\x01"
 
 
-def json_nodes(df: DataFrame, doc_id: str, json: str) -> DataFrame:
-    """Leaf objects and primitives of arrays with their keys in document order, to any depth."""
-    return json_walk.walk(df, doc_id, json, json_walk.node_rows, "ord array<int>, path string, content string, node_type string")
+def json_nodes(df: DataFrame, doc_id: str, json: str, only: list[str] | None = None) -> DataFrame:
+    """Leaf objects and primitives of arrays with their keys in document order, to any depth; ``only`` names the columns
+    to make beside the id, where not all are needed."""
+    rows_of = partial(json_walk.node_rows, ordered=only is None or "ord" in only)
+    return json_walk.walk(df, doc_id, json, rows_of, "ord array<int>, path string, content string, node_type string", only)
 
 
 def text_nodes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -120,7 +124,9 @@ def node_text(path: str | Column, content_json: str | Column, node_type: str | C
     pairs = F.array_join(F.transform(F.map_entries(F.from_json(col(content_json), "map<string,string>")),
                                      lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))), " | ")
     body = F.when(col(node_type).isin("object", "row"), pairs).otherwise(col(content_json))
-    return F.when(words == "", body).otherwise(F.concat_ws(" | ", words, body))
+    both = F.array(F.struct(words.alias("words"), body.alias("body")))       # each is evaluated once, though used twice
+    return F.get(F.transform(both, lambda x: F.when(x["words"] == "", x["body"]).otherwise(
+        F.concat_ws(" | ", x["words"], x["body"]))), F.lit(0))
 
 
 def embedding_text(data_key: str | Column, norm_json: str | Column, structured: str | Column) -> Column:
@@ -177,10 +183,11 @@ def reassemble_csv(nodes: DataFrame, doc_id: str) -> DataFrame:
 
 def reassemble_json(nodes: DataFrame, doc_id: str) -> DataFrame:
     """One JSON object per document, keyed by node path in node order."""
-    name = lambda p: F.regexp_extract(F.to_json(F.array(p)), r"(?s)^\[(.*)\]$", 1)       # quoted and escaped
-    return (nodes.groupBy(doc_id).agg(_in_order(F.col("ord"), F.col("path"), F.col("content")).alias("_n"))
-            .select(doc_id, F.concat(F.lit("{"), F.array_join(F.transform("_n", lambda n: F.concat(
-                name(n["path"]), F.lit(":"), n["content"])), ","), F.lit("}")).alias("json")))
+    listed = F.to_json(F.array("path"))                                                  # ["quoted and escaped"]
+    name = F.substr(listed, F.lit(2), F.length(listed) - 2)
+    fields = nodes.select(doc_id, "ord", F.concat(name, F.lit(":"), "content").alias("_f"))
+    return (fields.repartition(doc_id).groupBy(doc_id).agg(_in_order(F.col("ord"), F.col("_f")).alias("_n"))
+            .select(doc_id, F.concat(F.lit("{"), F.array_join(F.col("_n._f"), ","), F.lit("}")).alias("json")))
 
 
 def explode_json(docs: DataFrame, doc_id: str) -> DataFrame:
