@@ -7,7 +7,7 @@ from unittest import mock
 import pytest
 from pyspark.sql import Window, functions as F
 
-from needmatch.operators import access as ac, webhooks as wh
+from needmatch.operators import access as ac, subscribe as sub, webhooks as wh
 from needmatch.plans import skew as sk
 from needmatch.plans.blocked import cosine_topk
 from needmatch.session import materialize
@@ -178,3 +178,40 @@ def test_rate_pressure_counts_by_growing_frames(spark):
     at = {i: i * 7000 % 90000000 for i in range(3000)}
     got = {r["request_id"]: r["in_window"] for r in pressure.collect()}
     assert all(got[i] == sum(t - 60_000_000 <= x <= t for x in at.values()) for i, t in at.items() if i % 50 == 0) and len(got) == 3000
+
+
+def dealt(df):
+    """Pairs that each task makes."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("_task")).count().collect()]
+
+
+@pytest.mark.parametrize("pairs", [1 << 17, 500])
+def test_meet(spark, pairs):
+    rng = random.Random(3)
+    keys = [("hot", None)] * 60 + [(rng.choice(["a", "b", None]), rng.choice([1, 2, None])) for _ in range(60)]
+    left = spark.createDataFrame([(*k, i) for i, k in enumerate(keys)], "k string, m int, l int")
+    right = spark.createDataFrame([(*k, i) for i, k in enumerate(keys[20:])], "k string, m int, r int")
+    with mock.patch.object(sk, "TASK_PAIRS", pairs):
+        got = sk.meet(left, right, ["k", "m"], ["l"], ["r"])
+        assert got.columns == ["k", "m", "l", "r"]
+        found = sorted((r["l"], r["r"]) for r in got.collect())
+    assert found == sorted((i, j) for i, a in enumerate(keys) for j, b in enumerate(keys[20:]) if a == b)
+
+
+def test_meet_of_nothing(spark):
+    left, right = spark.createDataFrame([("a", 1)], "k string, l int"), spark.createDataFrame([("b", 2)], "k string, r int")
+    assert sk.meet(left, right, ["k"], ["l"], ["r"]).collect() == []
+
+
+def test_pairs_of_a_hot_key_come_from_several_tasks(spark):
+    """Small tables whose pairs are many: no task makes them all, whichever side would fit a broadcast."""
+    n = 400
+    changes = spark.range(n).select(F.col("id").alias("sequence"), F.lit("p").alias("project_id"), F.lit("k").alias("data_key"))
+    agents = spark.range(n).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("agent_id"), F.lit("p").alias("project_id"), F.lit("k").alias("data_key"))
+    events = changes.select(F.col("sequence").alias("event_id"), F.lit("t").alias("tenant_id"), F.lit("e").alias("event_type"), F.lit("c").alias("category"), "project_id")
+    points = agents.select(F.col("agent_id").alias("endpoint_id"), F.lit(True).alias("is_active"), F.lit(None).cast("string").alias("tenant_id"),
+                           *[F.array().cast("array<string>").alias(c) for c in ("events", "categories", "project_ids")])
+    with mock.patch.object(sk, "TASK_PAIRS", 1000, create=True):
+        for made in (sub.affected_agents(changes, agents), wh.route(events, points)):
+            sizes = dealt(made)
+            assert sum(sizes) == n * n and max(sizes) < 0.9 * n * n
