@@ -1,10 +1,12 @@
 """Lists that end early, against sums of all entries."""
 
 import random
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
 
+from needmatch.operators import search as se
 from needmatch.plans import impact
 
 ENTRY = "project_id string, field string, term string, node long, f double"
@@ -70,3 +72,20 @@ def test_lists_end_early(spark):
 def test_nothing(spark):
     e, w = spark.createDataFrame([], ENTRY), spark.createDataFrame(lists(1)[1], WEIGHT)
     assert impact.ListSearch(w, *impact.impact_bands(e, ["project_id"], 2.2), ["project_id"], 5, 6).top().count() == 0
+
+
+def test_postings_of_words_a_project_does_not_ask_are_left_out(spark):
+    docs = spark.createDataFrame([(1, "a", "red red blue"), (2, "a", "blue green"), (3, "b", "red blue"), (4, "c", "red")], "doc_id long, project_id string, text string")
+    queries = spark.createDataFrame([(1, "a", "red"), (2, "b", "blue")], "query_id long, project_id string, query string")
+    read = []
+
+    class Lists(impact.ListSearch):
+        def __init__(self, weights, entries, *rest):
+            read.extend((r["project_id"], r["term"], r["node"]) for r in entries.collect())
+            super().__init__(weights, entries, *rest)
+
+    with mock.patch.object(se, "ListSearch", Lists):
+        found = se.bm25_search(queries, "query_id", "query", se.bm25_index(docs, "doc_id", ["text"]), se.field_stats(docs, ["text"]),
+                               docs=docs.select("doc_id", "project_id"), lists=True)
+        assert sorted((r["query_id"], r["doc_id"]) for r in found.collect()) == [(1, 1), (2, 3)]
+    assert sorted(read) == [("a", "red", 1), ("b", "blue", 3)]
