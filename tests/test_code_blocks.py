@@ -37,3 +37,13 @@ def test_repeated_ids_and_missing_groups(spark):
     found = se.vector_topk_ann(queries, nodes, ["project_id"], "query_id", "vec_id", 3).collect()
     assert {r.project_id for r in found} == {"a"} and {r.query_id for r in found} == set(range(20))
     assert all(r.similarity == 1.0 and r.vec_id == r.query_id for r in found if r["rank"] == 1)
+
+
+def test_one_group_without_a_key(spark):
+    x = np.random.default_rng(6).normal(size=(300, 8))
+    nodes = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], DDL).drop("project_id").cache()
+    queries = nodes.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found = se.vector_topk_ann(queries, nodes, [], "query_id", "vec_id", 5)
+    best = se.vector_topk(queries, nodes, [], "query_id", "vec_id", 5, -1.0)
+    r = se.ann_recall(found, best, [], "query_id", "vec_id").first()
+    assert r.wanted == 75 and r.recalled >= 72
